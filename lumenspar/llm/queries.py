@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from lumenspar.llm import quality_rules
+from lumenspar.llm import decontaminate, near_dedup, pack, quality_rules, url_filter, warc
 
 QUERIES = {
+    "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op5_pack": pack.op5_pack,
+    "op6_warc": warc.op6_warc,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE = {
+    "op2_near_dedup": near_dedup.SQL,
+    "op6_warc": warc.SQL,
+    "op7_url_filter": url_filter.SQL,
+    "op8_decontaminate": decontaminate.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
