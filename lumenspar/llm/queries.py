@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumenspar.llm import decontaminate, near_dedup, pack, quality_rules, url_filter, warc
+from lumenspar.llm import decontaminate, line_dedup, near_dedup, pack, quality_rules, url_filter, warc
 
 QUERIES = {
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op5_pack": pack.op5_pack,
     "op6_warc": warc.op6_warc,
@@ -15,6 +16,7 @@ QUERIES = {
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE = {
+    "op3_line_dedup": line_dedup.SQL,
     "op2_near_dedup": near_dedup.SQL,
     "op6_warc": warc.SQL,
     "op7_url_filter": url_filter.SQL,
