@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lumenspar.llm import decontaminate, line_dedup, near_dedup, pack, quality_rules, url_filter, warc
+from lumenspar.llm import decontaminate, line_dedup, lm_score, near_dedup, pack, quality_classifier, quality_rules, url_filter, warc
 
 QUERIES = {
+    "op4_lm_score": lm_score.op4_lm_score,
+    "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op5_pack": pack.op5_pack,
@@ -16,6 +18,7 @@ QUERIES = {
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE = {
+    "op4_lm_score": lm_score.SQL,
     "op3_line_dedup": line_dedup.SQL,
     "op2_near_dedup": near_dedup.SQL,
     "op6_warc": warc.SQL,
