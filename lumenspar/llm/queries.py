@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumenspar.llm import decontaminate, line_dedup, lm_score, near_dedup, pack, quality_classifier, quality_rules, url_filter, warc
+from lumenspar.llm import decontaminate, line_dedup, lm_score, near_dedup, pack, quality_classifier, quality_rules, substring_dedup, url_filter, warc
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op4_lm_score": lm_score.op4_lm_score,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op3_line_dedup": line_dedup.op3_line_dedup,
