@@ -10,7 +10,7 @@ bring candidates together; a link stands only after the full sets are intersecte
 Texts with equal sets are one class before any of this, so a group of copies, however
 large, is one row. In a bucket, classes first meet the bucket's smallest class; only
 those that then still lie in different components meet each other, so pairs within a
-found group are never listed.
+found group are never compared, and of the others only links leave a task.
 
 Defined results: null, empty or wordless texts have the empty set, link with nothing and
 stay; texts of fewer words than a shingle have one shingle; repeated rows and ids are
@@ -100,24 +100,109 @@ def _sets(width: int) -> Callable:
     return run
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold.
+def _fetched(nodes: DataFrame, wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(node, n, shingles) of the wanted classes, from their texts; one exchange of texts.
 
-    Texts are fetched for the classes in question only; their sets are written once and
-    joined to the pairs from both sides, the intersection is taken in the JVM.
+    What is wanted grows with the data, so it is never broadcast to the texts.
     """
-    size = nodes.select("node", "n")
-    pairs = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-    pairs = materialize(pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = materialize(nodes.join(wanted, "node", "left_semi").select("node", "rep", "cls"), "wanted")
-    found = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.rep)).select("node", "cls", "text")
-    sets = materialize(found.mapInArrow(_sets(width), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.toDF("b", "of_b"), "b").join(sets.toDF("a", "of_a"), "a")
+    wanted = nodes.join(wanted, "node", "left_semi").select("node", "rep", "cls")
+    found = texts.join(wanted.hint("merge"), texts.doc_id.eqNullSafe(wanted.rep)).select("node", "cls", "text")
+    sets = found.mapInArrow(_sets(width), "node long, shingles array<long>").dropDuplicates(["node"])
+    return materialize(sets.withColumn("n", F.size("shingles").cast("long")), "sets")
+
+
+def _star_links(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``star`` whose full sets reach the threshold; intersected in the JVM."""
+    of_a, of_b = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"of_{c}")) for c in "ab")
+    sizes = star.join(of_a.select("a", "na"), "a").join(of_b.select("b", "nb"), "b")
+    pairs = sizes.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    both = pairs.join(of_b.select("b", "of_b"), "b").join(of_a.select("a", "of_a"), "a")
     common = F.size(F.array_intersect("of_a", "of_b"))
     return both.where(common * 100 >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
+def links_within(labels: np.ndarray, sets: list[np.ndarray], percent: int, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of rows with different labels (and parts, if given) whose sets reach the threshold.
+
+    Intersections are one product of a 0/1 matrix with itself, a strip of shingles at a
+    time; shingles that only one row has cannot count and are left out.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.float64)
+    row = np.repeat(np.arange(n), sizes.astype(int))
+    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = seen[column] > 1
+    row, column = row[shared], column[shared]
+    column = np.unique(column, return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((n, n), np.float32)
+    width = max(256, 4_000_000 // max(n, 1))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, (at, at + width))
+        strip = np.zeros((n, width), np.float32)
+        strip[row[i:j], column[i:j] - at] = 1
+        common += strip @ strip.T
+    both = common.astype(np.float64)
+    ok = (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)) & (labels[:, None] != labels[None, :])
+    if parts is not None:
+        ok &= parts[:, None] != parts[None, :]
+    return [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(ok, 1)), strict=True)]
+
+
+def _block_links(percent: int) -> Callable:
+    """Links of each (bucket, i, j), whose rows come together; only links leave the task."""
+
+    def group(rows: list[tuple]) -> list[tuple[int, int]]:
+        nodes, labels, parts, i, j, sets = zip(*rows, strict=True)
+        if len(set(labels)) < 2:
+            return []
+        across = np.array(parts) if i[0] != j[0] else None
+        found = links_within(np.array(labels), [np.asarray(x) for x in sets], percent, across)
+        return [(min(nodes[x], nodes[y]), max(nodes[x], nodes[y])) for x, y in found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            bucket, i, j, node, label, part = (batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "label", "part"))
+            offsets, values = batch.column("shingles").offsets.to_numpy(), batch.column("shingles").values.to_numpy()
+            for r in range(batch.num_rows):
+                if (bucket[r], i[r], j[r]) != key:
+                    out += group(held) if len(held) > 1 else []
+                    key, held = (bucket[r], i[r], j[r]), []
+                held.append((node[r], label[r], part[r], i[r], j[r], values[offsets[r] : offsets[r + 1]]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+        out = group(held) if len(held) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+#: A block of a bucket: so many shingles and so many rows at most, about.
+BLOCK_SHINGLES, BLOCK_ROWS = 1_000_000, 2_000
+
+
+def _mixed_links(company: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between classes that share a bucket and lie in different components so far.
+
+    A large bucket is cut into blocks by hash, and each pair of blocks is one bounded
+    piece of work, so no task holds a whole bucket and no candidate pair is a row.
+    """
+    labelled = company.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    labelled = materialize(labelled.join(sets.select("node", "n"), "node"), "labelled")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("rows"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_SHINGLES), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("int")
+    mixed = mixed.where("lo <> hi").select("bucket", blocks.alias("blocks"))
+    part = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = labelled.join(mixed, "bucket").withColumn("part", part)
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pieces = rows.select("bucket", "node", "label", "part", others.alias("other")).select(
+        "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "label", "part"
+    )
+    full = pieces.join(sets.select("node", "shingles"), "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return full.mapInArrow(_block_links(percent), "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, n_bands: int = BANDS, n_rows: int = ROWS
 ) -> DataFrame:
@@ -136,20 +221,13 @@ def near_duplicates(
     shared = in_bucket.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # rows of buckets with company; usually few of all
     company = materialize(in_bucket.join(shared.select("bucket", "pivot"), "bucket"), "buckets")
+    sets = _fetched(nodes, company.select("node").distinct(), texts, width)
     star = company.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(_verified(star, nodes, texts, width, percent), "links")
+    links = materialize(_star_links(star, sets, percent), "links")
     labels = materialize(connected_components(links.toDF("src", "dst")), "labels")
 
     # what shares a bucket but no component yet has to meet as well
-    labelled = company.join(labels, "node", "left").select("bucket", "node", "pivot", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    open_rows = materialize(labelled.join(mixed, "bucket").join(nodes.select("node", "n"), "node"), "mixed")
-    x, y = (open_rows.select("bucket", *[F.col(c).alias(f"{c}{i}") for c in ("node", "label", "pivot", "n")]) for i in "xy")
-    rest = x.join(y, "bucket").where(
-        "nodex < nodey and labelx <> labely and nodex <> pivotx and nodey <> pivoty"
-        f" and least(nx, ny) * 100 >= greatest(nx, ny) * {percent}"
-    )
-    late = _verified(rest.select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct(), nodes, texts, width, percent)
+    late = _mixed_links(company, labels, sets, percent)
     links = materialize(links.unionByName(late), "links")
     labels = connected_components(links.toDF("src", "dst"))
 
