@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenspar.functions.vectors import let
+
 METHODS = ("robertson", "lucene", "atire", "bm25l", "bm25plus")
 
 
@@ -38,11 +40,13 @@ def tokens(text: Column, config: LexicalConfig = LexicalConfig()) -> Column:  #
 
 def with_ngrams(words: Column, n: int) -> Column:
     """The words, then their 2- to n-grams joined by an underscore."""
-    parts = [words]
-    for k in range(2, n + 1):
-        starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.expr("cast(array() as array<int>)"))
-        parts.append(F.transform(starts, lambda i, k=k: F.array_join(F.slice(words, i, k), "_")))
-    return F.concat(*parts)
+
+    def grams(w: Column, k: int) -> Column:
+        none = F.expr("cast(array() as array<int>)")
+        starts = F.when(F.size(w) >= k, F.sequence(F.lit(1), F.size(w) - (k - 1))).otherwise(none)
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, k), "_"))
+
+    return let(lambda w: F.concat(w, *[grams(w, k) for k in range(2, n + 1)]), words)
 
 
 _ALIASES = {

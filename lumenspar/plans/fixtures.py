@@ -57,7 +57,7 @@ def l2(a: str, b: str) -> str:
 
 
 def times(a: str, s: str) -> str:
-    return f"list_transform({a}, lambda x: x * ({s}))"
+    return f"list_transform({a}, lambda el: el * ({s}))"
 
 
 def unit(a: str) -> str:
