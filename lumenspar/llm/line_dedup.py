@@ -18,7 +18,8 @@ Defined results: a null or empty text has no lines and stays as it is; blank lin
 no part and stay; trailing space does not tell lines apart; a run never crosses from one
 document to the next; rows that repeat both id and text count as one document and are
 treated alike; null ids rank first; an empty table gives an empty result. Other columns
-pass through.
+pass through, but for ones named as those that are added (n_lines, n_deleted, n_runs)
+or beginning with ``_line_``, which give way.
 """
 
 from __future__ import annotations
@@ -152,18 +153,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _joined(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    gone = materialize(gone, "deleted").toDF("_k1", "_k2", "_deleted", "_runs")
-    marked = docs.select("*", *[c.alias(f"_doc_{n}") for n, c in zip(("k1", "k2"), _keys(id_col, text_col), strict=True)])
-    both = marked.join(gone, (F.col("_doc_k1") == F.col("_k1")) & (F.col("_doc_k2") == F.col("_k2")), "left")
+    """Input columns of the names that are added here give way to them."""
+    added = ("n_lines", "n_deleted", "n_runs")
+    carried = [c for c in docs.columns if c not in added]
+    gone = materialize(gone, "deleted").toDF("_line_k1", "_line_k2", "_line_deleted", "_line_runs")
+    marked = docs.select(*[c for c in carried if not c.startswith("_line_")], *[c.alias(f"_line_doc_{n}") for n, c in zip(("k1", "k2"), _keys(id_col, text_col), strict=True)])
+    both = marked.join(gone, (F.col("_line_doc_k1") == F.col("_line_k1")) & (F.col("_line_doc_k2") == F.col("_line_k2")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_deleted"), i))
-    cut = F.when(F.col("_deleted").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_line_deleted"), i))
+    cut = F.when(F.col("_line_deleted").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     n = F.size(F.filter(lines, lambda x: F.translate(x, SPACES, "") != ""))
-    out = [F.col(c) if c != text_col else cut.alias(c) for c in docs.columns]
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
     return both.select(
-        *out, F.coalesce(F.when(F.col(text_col).isNull(), 0), n).cast("long").alias("n_lines"),
-        F.greatest(F.coalesce(F.size("_deleted"), F.lit(0)), F.lit(0)).cast("long").alias("n_deleted"),
-        F.greatest(F.coalesce(F.size("_runs"), F.lit(0)), F.lit(0)).cast("long").alias("n_runs"),
+        *[F.col(c) if c != text_col else cut.alias(c) for c in carried if not c.startswith("_line_")],
+        F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n_lines"), size("_line_deleted").alias("n_deleted"), size("_line_runs").alias("n_runs"),
     )
 
 
