@@ -302,11 +302,11 @@ def s08_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("s09_attach_payload", f"""WITH {X.query_of()}, d AS (SELECT id, {X.l2("v", "q")} AS d FROM pts, q ORDER BY d, id LIMIT 10)
-SELECT id, round(d, 6) AS distance, page_id AS payload_page, octet_length(encode(html))::BIGINT AS payload_bytes FROM d LEFT JOIN pages ON id = page_id""")
+SELECT id, round(d, 6) AS distance, coalesce(page_id, -1) AS payload_page, coalesce(octet_length(encode(html)), -1)::BIGINT AS payload_bytes FROM d LEFT JOIN pages ON id = page_id""")
 def s09_payload(spark: SparkSession, d: str) -> DataFrame:
     payloads = X.table(spark, d, "pages").select(F.col("page_id").alias("id"), F.struct("page_id", F.encode("html", "utf-8").alias("b")).alias("payload"))
     found = S.attach_payload(S.search(X.points(spark, d), X.vector(spark, d), 10), payloads)
-    return found.select("id", F.round("distance", 6).alias("distance"), F.col("payload.page_id").alias("payload_page"), F.octet_length("payload.b").cast("long").alias("payload_bytes"))
+    return found.select("id", F.round("distance", 6).alias("distance"), F.coalesce("payload.page_id", F.lit(-1)).alias("payload_page"), F.coalesce(F.octet_length("payload.b"), F.lit(-1)).cast("long").alias("payload_bytes"))
 
 
 @query("s10_id_lookup", "SELECT vec_id AS id, 0.0::DOUBLE AS distance FROM embeddings WHERE vec_id IN (3, 7)")

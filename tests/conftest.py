@@ -43,7 +43,9 @@ def rows(frame):
     def cell(v):
         if v is None or v is pd.NA or v != v:
             return "null"
-        return repr(float(v)) if isinstance(v, float) else str(v)
+        if isinstance(v, float):  # integers with nulls come as floats
+            return str(int(v)) if v.is_integer() else repr(float(v))
+        return str(v)
 
     return sorted(tuple(cell(v) for v in r) for r in frame.astype(object).values.tolist())
 
