@@ -456,3 +456,67 @@ def s18(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("x00_norms", f"WITH {X.pts()} SELECT id, round(sqrt({X.n2('v')}), 6) AS length FROM pts")(lambda spark, d: X.points(spark, d).select("id", F.round(norm(F.col("vector")), 6).alias("length")))
+
+
+# --- the rest of the surface -----------------------------------------------------------------
+
+
+@query("io09_insert_text", "SELECT count(*) AS n FROM benchmark")
+def io09(spark: SparkSession, d: str) -> DataFrame:
+    """Texts embedded and inserted as points with their text as metadata."""
+    from lumenspar.sources.text import hash_embedder
+
+    made = C.Catalog(spark, work_path(spark, "catalog")).create(CollectionSpec("texts", (Component("all", "cosine", 64),)))
+    texts = X.table(spark, d, "benchmark").where("text is not null")
+    made.insert(texts.select(F.col("item_id").alias("id"), hash_embedder(64)(F.col("text")).alias("vector"), F.create_map(F.lit("text"), F.col("text")).alias("metadata")))
+    return C.count(made.live())
+
+
+@query("m18_lorentz_transform", X.top("lorentz", 10))
+def m18_lorentz(spark: SparkSession, d: str) -> DataFrame:
+    """A keyed rotation and boost keeps geodesic distances."""
+    from lumenspar.operators.secure import lorentz_transform, rotate
+
+    m = lorentz_transform(b"key", 65)
+    q = (m @ X.vector(spark, d, "lorentz")).tolist()
+    return S.search(rotate(X.points(spark, d, "lorentz"), m), q, 10, "lorentz").select("id", F.round("distance", 6).alias("distance"))
+
+
+@query("s22_hidden_metadata", "SELECT vec_id AS id, sha256('k' || sha256('k' || label::VARCHAR)) AS label FROM embeddings WHERE label = 3")
+def s22_hidden(spark: SparkSession, d: str) -> DataFrame:
+    """Equality search over keyed hashes of a metadata value."""
+    from lumenspar.operators.secure import hide
+
+    rows = X.points(spark, d).select("id", hide(F.col("label").cast("string"), "k").alias("label"))
+    return rows.where(F.col("label") == hide(F.lit("3"), "k"))
+
+
+@query("s22_sealed_payload", "SELECT page_id, md5(html) AS digest FROM pages")
+def s22_sealed(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads encrypted and decrypted again."""
+    from lumenspar.operators.secure import seal, unseal
+
+    key = b"0123456789abcdef"
+    sealed = X.table(spark, d, "pages").select("page_id", seal(F.encode("html", "utf-8"), key).alias("b"))
+    return sealed.select("page_id", F.md5(unseal(F.col("b"), key)).alias("digest"))
+
+
+query("x05_explore_down", _REACH.format(e=_EDGES, start=20, depth=2))(lambda spark, d: G.traverse(_edges(spark, d), 20, 2, 100_000))
+
+
+@query("x07_fused_retrieval", f"""WITH {X.query_of()}, v AS (SELECT id, row_number() OVER (ORDER BY {X.l2("v", "q")}, id) AS r FROM pts, q QUALIFY r <= 20),
+t AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents QUALIFY r <= 20)
+SELECT coalesce(v.id, t.id) AS id, round(coalesce(1 / (0.5::DOUBLE + v.r), 0) + coalesce(1 / (0.5::DOUBLE + t.r), 0), 6) AS score FROM v FULL JOIN t ON v.id = t.id""")
+def x07_fused(spark: SparkSession, d: str) -> DataFrame:
+    """Reciprocal ranks with a small constant, over any two ranked lists."""
+    from lumenspar.operators.lexical import rrf
+
+    near = S.search(X.points(spark, d), X.vector(spark, d), 20).select("id", "distance")
+    long = X.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("score")).orderBy(F.desc("score"), "id").limit(20)
+    return rrf(near, long, 0.5).select("id", F.round("score", 6).alias("score"))
+
+
+@query("a08_configure", "SELECT 5 AS probe_k, 8 AS oversample, 'hybrid' AS metric, 801 AS dimension, 'hybrid801' AS mode")
+def a08(spark: SparkSession, d: str) -> DataFrame:
+    spec = CollectionSpec("c", (Component("head", "lorentz", 33), Component("tail", "l2", 768))).configured(probe_k=5, oversample=8)
+    return spark.createDataFrame([(spec.probe_k, spec.oversample, spec.metric, spec.dimension, spec.mode)], "probe_k int, oversample int, metric string, dimension int, mode string")
