@@ -144,12 +144,11 @@ def host_rates(rated: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
     strength = F.when(
         (variance > 0) & (within > 0), F.least(F.greatest(within / F.when(variance > 0, variance) - 1, F.lit(1.0)), F.lit(MAX_STRENGTH))
     ).otherwise(F.lit(MAX_STRENGTH))
-    # one row for all hosts, so this join broadcasts a row
-    prior = prior.select(mean.alias("prior_mean"), strength.alias("prior_strength"))
-    rate = (f + F.col("prior_mean") * F.col("prior_strength")) / (n + F.col("prior_strength"))
-    return hosts.join(F.broadcast(prior)).select(
-        "host", "n_docs", "n_failed", rate.alias("rate"), (rate >= host_rate).alias("host_failed")
-    )
+    # two numbers for all hosts
+    fitted = prior.select(mean.alias("mean"), strength.alias("strength")).first()
+    mean, strength = F.lit(float(fitted["mean"] or 0.0)), F.lit(float(fitted["strength"] or MAX_STRENGTH))
+    rate = (f + mean * strength) / (n + strength)
+    return hosts.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate >= host_rate).alias("host_failed"))
 
 
 def quality_rules(
