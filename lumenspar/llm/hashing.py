@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are hashed in slices of about so many bytes; longer texts alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
