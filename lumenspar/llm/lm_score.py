@@ -85,21 +85,25 @@ def _distinct(grams: list[np.ndarray], n_words: int) -> tuple[np.ndarray, np.nda
     return np.insert(values, at, _WORDS), np.insert(counts, at, n_words)
 
 
-def _cuts(values: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted hashes; buckets are equal ranges of hashes."""
-    edges = (np.arange(1, n_buckets, dtype=object) * (2**64 // n_buckets)).astype(np.uint64) if n_buckets > 1 else np.zeros(0, np.uint64)
-    return np.concatenate(([0], np.searchsorted(values, edges), [len(values)]))
+def _cuts(values: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that sorted hashes fall in, and where each begins, with the end.
+
+    Buckets are equal ranges of hashes; work grows with the hashes, not with the buckets.
+    """
+    width = np.uint64(min(2**64 // n_buckets, 2**64 - 1))
+    bucket = np.minimum(values // width, np.uint64(n_buckets - 1)).astype(np.int64)
+    begins = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1))
+    return bucket[begins], np.append(begins, len(values))
 
 
 def _blocks(order: int, n_buckets: int) -> Callable:
     def run(chunk: pa.Table) -> pa.Table:
         grams, at = ngrams(chunk.column("text"), order)
         values, counts = _distinct(grams, int(at[-1]))
-        cuts = _cuts(values, n_buckets)
+        buckets, cuts = _cuts(values, n_buckets)
         rows = [
-            (b, _pack(_delta(values[cuts[b] : cuts[b + 1]])), _pack(counts[cuts[b] : cuts[b + 1]].astype(np.uint32)))
-            for b in range(n_buckets)
-            if cuts[b] < cuts[b + 1]
+            (b, _pack(_delta(values[i:j])), _pack(counts[i:j].astype(np.uint32)))
+            for b, i, j in zip(buckets.tolist(), cuts[:-1], cuts[1:], strict=True)
         ]
         b, v, c = zip(*rows, strict=True)
         return pa.table({"bucket": pa.array(b, pa.int64()), "chunk": pa.array([chunk.column("chunk")[0].as_py()] * len(b), pa.int64()), "grams": pa.array(v, pa.binary()), "counts": pa.array(c, pa.binary())})
