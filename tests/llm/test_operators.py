@@ -129,6 +129,43 @@ def test_chains_use_gap_costs():
     assert sorted(map(len, substring_dedup.chains(a, b, 6))) == [2, 4]
 
 
+def _texts_to_words(*texts):
+    return [w for t in texts for w in substring_dedup._all_words(pa.array([t]))]
+
+
+def _candidates(a, b):
+    """Passages of the later text b that also stand in a."""
+    (ha, pa_), (hb, pb_) = (substring_dedup.seeds(w, 6, 10) for w in (a, b))
+    first = {}
+    for x, p in zip(ha.tolist(), pa_.tolist(), strict=True):
+        first.setdefault(x, p)
+    m = sorted((p, first[x]) for x, p in zip(hb.tolist(), pb_.tolist(), strict=True) if x in first)
+    found = substring_dedup.spans([x for _, x in m], [y for y, _ in m], 6, 10, 3, 50)
+    return [p[:4] for parts in found for p in substring_dedup.passages(a, b, parts, 50, 0.8, False)]
+
+
+def test_passages_far_apart_are_all_found():
+    words_of = lambda n, tag: " ".join(f"{tag}{i}" for i in range(n))
+    one, two = words_of(150, "p"), words_of(80, "q")
+    a = " ".join((one, words_of(120, "x"), two))
+    b = " ".join((words_of(30, "y"), one, words_of(90, "z"), two))
+    assert sorted(_candidates(*_texts_to_words(a, b))) == [(0, 150, 30, 180), (270, 350, 270, 350)]
+
+
+def test_chains_of_little_identity_give_their_good_parts():
+    words_of = lambda n, tag: " ".join(f"{tag}{i}" for i in range(n))
+    one, two = words_of(60, "p"), words_of(60, "q")
+    a = " ".join((one, words_of(45, "x"), two))
+    b = " ".join((one, words_of(45, "y"), two))
+    # as a whole 120 of 165 words agree
+    assert sorted(_candidates(*_texts_to_words(a, b))) == [(0, 60, 0, 60), (105, 165, 105, 165)]
+
+
+def test_a_phrase_over_and_over_is_a_passage():
+    a, b = "start " + "buy now " * 60, "other words " + "buy now " * 60
+    assert any(x[3] - x[2] >= 100 for x in _candidates(*_texts_to_words(a, b)))
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
