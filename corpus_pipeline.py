@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspar.llm.decontaminate import decontaminate
+from lumenspar.llm.decontaminate import WINDOW, decontaminate
 from lumenspar.llm.line_dedup import line_dedup
 from lumenspar.llm.near_dedup import near_duplicates
 from lumenspar.llm.pack import pack_documents
@@ -58,10 +58,16 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold passages of two test items or more go."""
+    """Documents that hold a whole window of eight words of a test item, or two items, go.
+
+    An item of fewer words, which may stand in a text by chance, rejects none alone.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     judged = decontaminate(docs.select(_key().alias("doc_id"), "text"), benchmark)
-    return _without(docs, judged.where("contaminated"))
+    # spans are start, end, start, end ...
+    run = F.transform("spans", lambda x, i: F.when(i % 2 == 1, x - F.get("spans", i - 1)))
+    leaks = F.coalesce(F.array_max(run), F.lit(0)) >= WINDOW
+    return _without(docs, judged.where(F.col("contaminated") | leaks))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
