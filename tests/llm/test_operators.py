@@ -122,6 +122,17 @@ def test_passages_match_brute_force(spark):
         assert table[-1] / max(len(a), len(b)) == pytest.approx(r.identity)
 
 
+def test_passages_whose_parts_occur_earlier_apart(spark):
+    words_of = lambda n, tag: " ".join(f"{tag}{i}" for i in range(n))
+    both = words_of(80, "p").split()
+    one, two = both[:40], both[40:]
+    parts = [("A", one), ("D", two), ("B", both), ("X", one), ("Y", two), ("C", both)]
+    texts = [(i, " ".join((words_of(30, f"l{x}"), *part, words_of(30, f"r{x}")))) for i, (x, part) in enumerate(parts)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    found = {(r.source_doc_id, r.doc_id, r.source_start, r.source_end, r.start_word, r.end_word) for r in substring_dedup.repeated_passages(docs).collect()}
+    assert found == {(2, 5, 30, 110, 30, 110)}
+
+
 def test_chains_use_gap_costs():
     a = [0, 10, 20, 30, 500, 510]
     b = [5, 15, 26, 36, 40, 50]
