@@ -49,6 +49,13 @@ def test_sketch_estimates_similarity():
         assert a.max() < 2**64 - 1
 
 
+def _components(n, links):
+    top = list(range(n))
+    for a, b in links:
+        top = [top[a] if x == top[b] else x for x in top]
+    return {frozenset(i for i in range(n) if top[i] == x) for x in top}
+
+
 def test_near_links_in_blocks_match_brute_force():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**62, 60).astype(np.int64)
@@ -56,16 +63,24 @@ def test_near_links_in_blocks_match_brute_force():
     for _ in range(40):
         keep = base[rng.random(60) > 0.1]
         sets.append(np.unique(np.concatenate((keep, rng.integers(0, 2**62, rng.integers(0, 8))))))
-    labels = np.arange(40)
     want = set()
     for i in range(40):
         for k in range(i + 1, 40):
             n = len(np.intersect1d(sets[i], sets[k]))
             if 100 * n >= 80 * (len(sets[i]) + len(sets[k]) - n):
                 want.add((i, k))
-    assert want and set(near_dedup.links_within(labels, sets, 80)) == want
-    parts = labels % 2
-    assert set(near_dedup.links_within(labels, sets, 80, parts)) == {(i, k) for i, k in want if i % 2 != k % 2}
+    needed = near_dedup.agreement_needed(288, 80)
+    bytes_of = lambda s: (hashing.mix(near_dedup.sketch(s.view(np.uint64), 288)) >> np.uint64(56)).astype(np.uint8).tobytes()
+    rows = [{"bucket": 0, "node": i, "label": i, "part": 0, "n": len(s), "sketch": bytes_of(s), "shingles": s} for i, s in enumerate(sets)]
+    pairs = {(i, k) for _, i, k in near_dedup.near_pairs(rows, 0, 6, needed, 80)}
+    assert want and want <= pairs
+    # a pair that shares the bucket of an earlier band is met there
+    later = {(i, k) for _, i, k in near_dedup.near_pairs(rows, 48, 6, needed, 80)}
+    coordinates = [np.frombuffer(r["sketch"], np.uint8).reshape(48, 6) for r in rows]
+    assert later == {(i, k) for i, k in pairs if not (coordinates[i] == coordinates[k]).all(axis=1).any()}
+    assert _components(40, near_dedup.block_links(rows, 6, needed, 80)) == _components(40, want)
+    parts = [r | {"part": i % 2} for i, r in enumerate(rows)]
+    assert _components(40, near_dedup.block_links(parts, 6, needed, 80)) == _components(40, {(i, k) for i, k in want if i % 2 != k % 2})
 
 
 def test_large_buckets_are_cut_without_loss(spark, monkeypatch):
