@@ -16,7 +16,7 @@ from lumenspar.llm.decontaminate import WINDOW, decontaminate
 from lumenspar.llm.line_dedup import line_dedup
 from lumenspar.llm.near_dedup import near_duplicates
 from lumenspar.llm.pack import pack_documents
-from lumenspar.llm.quality_classifier import classify, sample_labels, train
+from lumenspar.llm.quality_classifier import classify
 from lumenspar.work import materialize
 
 KEY = "_document"
@@ -38,10 +38,8 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are likelier of low quality or toxic than not go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    keyed = docs.select("doc_id", "text", "source", "lang")
-    model = train(sample_labels(keyed.select("doc_id", "text"), labels))
-    judged = classify(keyed.withColumn("doc_id", _key()), labels, model=model)
-    return _without(docs, judged.where(~F.col("kept")))
+    judged = classify(docs.select("doc_id", "text", "source", "lang", _key().alias(KEY)), labels, carry=[KEY])
+    return _without(docs, judged.where(~F.col("kept")).select(F.col(KEY).alias("doc_id")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -274,3 +274,60 @@ def test_classifier_on_held_out_labels(spark):
     bad = (out.quality == 0) | (out.toxic == 1)
     assert (out[bad].kept).mean() < 0.08
     assert (out[~bad].kept).mean() > 0.98
+
+
+def test_classifier_matches_brute_force(spark):
+    rng = np.random.default_rng(2)
+    good, bad = [f"fine{i}" for i in range(40)], [f"junk{i}" for i in range(40)]
+    rows, marks = [], []
+    for i in range(160):
+        low = rng.random() < (0.7 if i % 5 == 0 else 0.2)
+        text = " ".join(rng.choice(bad if low else good, 12)) + " " + " ".join(rng.choice(good + bad, 6))
+        rows.append((i if i % 9 else None, text, f"h{i % 5}", "p" if i % 2 else None))
+        if i % 9 and i % 3:
+            marks.append((i, 0 if low else 1, int(i % 20 == 1)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = quality_classifier.train(quality_classifier.sample_labels(docs, labels))
+    assert set(model) == {"low", "toxic"}
+    found = quality_classifier.classify(docs, labels, model=model).collect()
+    known = {i: {"low": 1.0 - q, "toxic": float(x)} for i, q, x in marks}
+    want = []
+    chance = lambda x: 1 / (1 + np.exp(-x))
+    out = [{} for _ in rows]
+    for t in ("low", "toxic"):
+        weights, start, base = model[t]
+        odds = [start - base + sum(weights.get(f, 0.0) for f in quality_classifier.features(r[1])) for r in rows]
+        count = [known[r[0]][t] if r[0] in known else chance(o + base) for r, o in zip(rows, odds, strict=True)]
+        groups = {"host": {}, "path": {}}
+        for r, c in zip(rows, count, strict=True):
+            groups["host"].setdefault(r[2], []).append(c)
+            groups["path"].setdefault(r[2:4], []).append(c)
+        g = sum(count) / len(count)
+
+        def strength(sites):
+            within = sum(of * (1 - of) for _, of in sites)
+            extra = sum(len(c) * (np.mean(c) - of) ** 2 for c, of in sites) - within
+            n = sum(len(c) for c, _ in sites)
+            return min(max(within * n / (extra * len(sites)), 1.0), 1000.0) if extra > 0 and within > 0 else 1000.0
+
+        k_host = strength([(c, g) for c in groups["host"].values()])
+        of_host = {h: (sum(c) + k_host * g) / (len(c) + k_host) for h, c in groups["host"].items()}
+        k_path = strength([(c, of_host[key[0]]) for key, c in groups["path"].items()])
+        for r, o, c, x in zip(rows, odds, count, out, strict=True):
+            rate = (sum(count) - c) / (len(count) - 1)
+            for k, site in ((k_host, groups["host"][r[2]]), (k_path, groups["path"][r[2:4]])):
+                rate = (sum(site) - c + k * rate) / (len(site) - 1 + k)
+            x[t] = chance(o + base + np.clip(np.log(rate / (1 - rate)) - base, -2, 2))
+    want = sorted((str(r[0]), round(x["low"], 6), round(x["toxic"], 6), x["low"] <= 0.5 and x["toxic"] <= 0.5) for r, x in zip(rows, out, strict=True))
+    assert sorted((str(r.doc_id), round(r.p_low, 6), round(r.p_toxic, 6), r.kept) for r in found) == want
+    assert {True, False} == {r.kept for r in found}
+
+
+def test_training_sample_is_bounded(spark):
+    # one id on many labels and many texts
+    docs = spark.range(6000).selectExpr("id % 3 as doc_id", "concat('text ', id) as text")
+    labels = spark.range(6000).selectExpr("0L as doc_id", "cast(id % 2 as int) as quality", "0 as toxic")
+    sample = quality_classifier.sample_labels(docs, labels, max_train=200)
+    assert 100 < sample.count() < 300
+    assert quality_classifier.sample_labels(docs, labels, max_bytes=900).count() < 180
