@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenspar.llm import hashing, near_dedup, pack, quality_classifier, substring_dedup, warc
+from lumenspar.llm import hashing, line_dedup, near_dedup, pack, quality_classifier, substring_dedup, warc
 from lumenspar.llm.encode import encoder
 from lumenspar.llm.queries import ORACLE, QUERIES
 from lumenspar.work import work_path
@@ -331,3 +331,41 @@ def test_training_sample_is_bounded(spark):
     sample = quality_classifier.sample_labels(docs, labels, max_train=200)
     assert 100 < sample.count() < 300
     assert quality_classifier.sample_labels(docs, labels, max_bytes=900).count() < 180
+
+
+def test_earlier_copies_match_a_suffix_array(spark):
+    rng = np.random.default_rng(4)
+    texts = ["\n".join(rng.choice(list("abc"), rng.integers(1, 25))) for _ in range(25)]
+    run = "\n".join(f"r{i}" for i in range(37))
+    texts += [run, f"x\n{run}\ny", f"{run}\na", "\n".join("z" * 40), "q\n" + "\n".join("z" * 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    places = line_dedup.placed_lines(docs, "doc_id", "text")
+    at = {r.place: (r.doc, r.at) for r in places.collect()}
+    found = {at[r.place]: (r.best, at[r.source]) for r in line_dedup.earlier_copies(places).collect()}
+    # by sorting all suffixes and looking at neighbours both ways
+    suffixes = sorted((tuple(t.split("\n")[i:]), (d, i)) for d, t in enumerate(texts) for i in range(len(t.split("\n"))))
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    want = {}
+    for n, (mine, where) in enumerate(suffixes):
+        best = (0, None)
+        for step in (-1, 1):
+            k, shared = n + step, len(mine)
+            while 0 <= k < len(suffixes):
+                shared = min(shared, common(suffixes[k][0], suffixes[k - step][0]))
+                if not shared or shared < best[0]:
+                    break
+                if suffixes[k][1] < where and (shared > best[0] or suffixes[k][1] < best[1]):
+                    best = (shared, suffixes[k][1])
+                k += step
+        if best[0]:
+            want[where] = best
+    assert found == want
+    assert found[26, 1] == (37, (25, 0)) and found[28, 1] == (39, (28, 0))
+
+
+def test_long_runs_need_all_rounds(spark):
+    run = "\n".join(chr(97 + i % 26) + str(i // 26) for i in range(70))
+    docs = spark.createDataFrame([(1, run), (2, f"new\n{run}\nend"), (3, run[: run.index("m2")] + "z")], "doc_id long, text string")
+    out = {r.doc_id: r for r in line_dedup.line_dedup(docs, min_lines=65, min_chars=10**6).collect()}
+    assert out[2].text == "new\nend" and (out[2].n_runs, out[2].longest_run, out[2].longest_source) == (1, 70, 1)
+    assert out[3].n_deleted == 0
