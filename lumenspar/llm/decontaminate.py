@@ -3,8 +3,10 @@
 The patterns are all windows of eight consecutive words of the test items; an item
 of fewer words is one shorter window. For every pattern length there is a shift
 table over blocks of two words that says how far the search may jump when a block
-ends at a place, and buckets keyed by the last block of the patterns; only where the
-jump is nought are a bucket's patterns compared with the document, word by word.
+ends at a place, and buckets keyed by hashes of the patterns' ends; only where the
+jump is nought are the patterns of a bucket, by last and first block, compared with the
+document, word by word. A pattern is its place in the item's words, which are held once,
+so the tables take some 40 bytes a character of the test texts.
 
 Defined results: null or wordless texts have no words and no hits; items that are
 null, wordless or without an id give no window; items with the same id count once;
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
@@ -27,7 +29,7 @@ from lumenspar.work import materialize
 
 WINDOW = 8
 #: Test texts are searched in blocks of so many characters; a block is what is broadcast.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 4_000_000
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -37,59 +39,57 @@ def words(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """Finds all occurrences of equally long word sequences."""
+    """Finds all occurrences of the windows of m words of the items' word lists.
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list[str]]):
-        self.m = m = len(next(iter(patterns)))
+    ``texts`` has (item, words); those of exactly m words may be shorter items.
+    """
+
+    def __init__(self, texts: list[tuple[str, list[bytes]]], m: int):
+        self.texts, self.m = texts, m
         self.b = b = min(2, m)
-        self.patterns = patterns
         self.default = m - b + 1
         self.shift: dict = {}
-        for p in patterns:
-            for end in range(b, m + 1):
-                block = p[end - 2 : end] if b == 2 else p[end - 1]
-                self.shift[block] = min(self.shift.get(block, self.default), m - end)
-        #: last block -> the patterns that end with it
-        self.buckets: dict = {}
-        for p in patterns:
-            self.buckets.setdefault(p[m - 2 :] if b == 2 else p[m - 1], set()).add(p)
+        #: hash of first and last block -> the windows that have them, as (text, place of the first word)
+        self.buckets: dict[int, list[tuple[int, int]]] = {}
+        shift = self.shift
+        for t, (_, w) in enumerate(texts):
+            # a block's least distance to the end of a window, for each place in the text
+            for at in range(b, len(w) + 1):
+                block = (w[at - 2], w[at - 1]) if b == 2 else w[at - 1]
+                # windows end from m to len(w); the nearest end that leaves the block inside
+                jump = max(0, m - at)
+                if shift.get(block, self.default) > jump:
+                    shift[block] = jump
+                if at >= m:
+                    self.buckets.setdefault(hash((w[at - m], w[at - m + b - 1], block)), []).append((t, at - m))
 
     def find(self, text: list[bytes]) -> Iterator[tuple[int, list[str]]]:
         """(place of the first word, items) of each occurrence, overlapping ones too."""
-        m, shift, default, n = self.m, self.shift.get, self.default, len(text)
-        end = m - 1
-        if self.b == 1:
-            patterns = self.patterns
-            for i, w in enumerate(text):
-                if (w,) in patterns:
-                    yield i, patterns[(w,)]
-            return
+        m, b, shift, default, texts = self.m, self.b, self.shift.get, self.default, self.texts
+        end, n, none = m - 1, len(text), ()
         while end < n:
-            block = (text[end - 1], text[end])
+            block = (text[end - 1], text[end]) if b == 2 else text[end]
             jump = shift(block, default)
             if jump:
                 end += jump
                 continue
-            here = tuple(text[end - m + 1 : end + 1])
-            if here in self.buckets[block]:
-                yield end - m + 1, self.patterns[here]
+            here = text[end - m + 1 : end + 1]
+            selected = self.buckets.get(hash((here[0], here[b - 1], block)), none)
+            owners = [texts[t][0] for t, at in selected if texts[t][1][at : at + m] == here]
+            if owners:
+                yield end - m + 1, owners
             end += 1
 
 
 def windows(items: list[tuple[str, str]], window: int = WINDOW) -> list[WuManber]:
     """A searcher for each window length that the items have."""
-    by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = {}
+    by_length: dict[int, list[tuple[str, list[bytes]]]] = {}
+    known: dict[bytes, bytes] = {}
     for item, text in items:
-        w = words(text)
-        if not w:
-            continue
-        size = min(window, len(w))
-        found = by_length.setdefault(size, {})
-        for i in range(len(w) - size + 1):
-            owners = found.setdefault(tuple(w[i : i + size]), [])
-            if item not in owners:
-                owners.append(item)
-    return [WuManber(p) for _, p in sorted(by_length.items())]
+        # equal words are one object
+        if w := [known.setdefault(x, x) for x in words(text)]:
+            by_length.setdefault(min(window, len(w)), []).append((item, w))
+    return [WuManber(texts, m) for m, texts in sorted(by_length.items())]
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[str, str]]]:
@@ -109,31 +109,44 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -
 _SPANS = "spans array<int>, items array<string>"
 
 
-def _scan(items: Broadcast, window: int):
-    """A pass over the documents that adds the block's hits to spans and items."""
+def _scan(items: Broadcast, window: int, key: list[str], only_hits: bool) -> Callable:
+    """A pass over the documents: the key, n_words, spans that are hit and the items that hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searchers = windows(items.value, window)
         for batch in batches:
-            n_words, spans, found = [], [], []
-            for text, old, owned in zip(batch.column("text"), batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
+            rows, n_words, spans, found = [], [], [], []
+            for i, text in enumerate(batch.column("text")):
                 w = words(text.as_py())
-                hits, owners = [], set(owned)
+                hits, owners = [], set()
                 for s in searchers:
                     for start, who in s.find(w):
                         hits.append((start, start + s.m))
                         owners.update(who)
-                n_words.append(len(w))
-                spans.append(_union([*zip(old[::2], old[1::2], strict=True), *hits]))
-                found.append(sorted(owners))
+                if hits or not only_hits:
+                    rows.append(i)
+                    n_words.append(len(w))
+                    spans.append(_union(hits))
+                    found.append(sorted(owners))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))],
-                names=["doc_id", "text", "n_words", "spans", "items"],
+                [*(batch.column(c).take(pa.array(rows, pa.int64())) for c in key), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))],
+                names=[*key, "n_words", "spans", "items"],
             )
 
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans and items of several passes over a document as one."""
+    for batch in batches:
+        flat = [[(s[i], s[i + 1]) for s in x for i in range(0, len(s), 2)] for x in batch.column("all_spans").to_pylist()]
+        found = [sorted({i for x in xs for i in x}) for xs in batch.column("all_items").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("k1"), batch.column("k2"), pa.array(map(_union, flat), pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))],
+            names=["k1", "k2", "spans", "items"],
+        )
+
+
 def _union(spans: list[tuple[int, int]]) -> list[int]:
     """Half-open spans, merged and flattened: start, end, start, end ..."""
     out: list[int] = []
@@ -169,24 +182,36 @@ def decontaminate(
     """Per document: n_words, n_hit, n_items, items_sha256, spans of hit words, items, contaminated.
 
     The documents are searched where they lie, without a shuffle. A benchmark beyond
-    ``block_chars`` takes further passes; between them the documents and what was found
-    so far are written to the shared folder, so that no task holds two blocks.
+    ``block_chars`` takes further passes, so that no task holds two blocks; each hands on
+    the documents that it hits, without their texts, and these are put together by document.
     """
     spark = docs.sparkSession
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).select(
-        "*", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>) as spans"), F.expr("cast(array() as array<string>) as items")
-    )
-    kind = out.schema["doc_id"].dataType.simpleString()
-    done = 0
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kind = text.schema["doc_id"].dataType.simpleString()
+    # what tells rows of an id apart; rows that are equal get equal results
+    keyed = text.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(7), "doc_id").alias("k2"), "text")
+    first, more = None, []
     for block in blocks(benchmark, item_col, item_text_col, block_chars):
-        if done:
-            out = materialize(out, "decontaminate")
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(block), window), f"doc_id {kind}, text string, n_words long, {_SPANS}")
-        done += 1
-    # the digests run in the same Python task as the last search
-    out = out.select("doc_id", "n_words", "spans", "items").mapInArrow(
-        _digests, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, {_SPANS}"
-    )
+        shared = spark.sparkContext.broadcast(block)
+        if first is None:
+            first = shared
+        else:
+            scan = _scan(shared, window, ["k1", "k2"], True)
+            more.append(materialize(keyed.mapInArrow(scan, f"k1 long, k2 long, n_words long, {_SPANS}").distinct(), "hits"))
+            shared.unpersist()
+    if not more:
+        out = text.mapInArrow(_scan(first, window, ["doc_id"], False), f"doc_id {kind}, n_words long, {_SPANS}")
+    else:
+        once = materialize(keyed.mapInArrow(_scan(first, window, ["doc_id", "k1", "k2"], False), f"doc_id {kind}, k1 long, k2 long, n_words long, {_SPANS}"), "scanned")
+        hits = once.where(F.size("items") > 0).select("k1", "k2", "spans", "items").distinct()
+        for found in more:
+            hits = hits.unionByName(found.select("k1", "k2", "spans", "items"))
+        gathered = hits.groupBy("k1", "k2").agg(F.collect_list("spans").alias("all_spans"), F.collect_list("items").alias("all_items"))
+        merged = materialize(gathered.mapInArrow(_merged, f"k1 long, k2 long, {_SPANS}"), "merged")
+        none = lambda c: F.coalesce(F.col(c), F.array().cast(merged.schema[c].dataType)).alias(c)
+        out = once.select("doc_id", "k1", "k2", "n_words").join(merged, ["k1", "k2"], "left").select("doc_id", "n_words", none("spans"), none("items"))
+    # after one pass the digests run in the same Python task as the search
+    out = out.mapInArrow(_digests, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, {_SPANS}")
     return out.withColumn("contaminated", F.col("n_items") >= min_items)
 
 
