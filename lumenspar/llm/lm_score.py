@@ -8,11 +8,12 @@ n-grams; grouped by chunk, those meet the documents again and are summed per doc
 An n-gram crosses the network once for a chunk, however often the chunk has it, and a hot
 n-gram costs no more than a rare one.
 
-S(w | u v) = c(uvw) / c(uv), where uvw has been seen ``min_count`` times; else 0.4 times
-the same with (u) v dropped, down to c(w) / c().
+A document is scored by what the others have: its own n-grams are taken off all counts.
+S(w | u v) = c(uvw) / c(uv) where c(uvw) is not nought; else 0.4 times the same with (u) v
+dropped, down to c(w) / c(), where a word that no other document has counts one half.
 
 Defined results: null, empty or wordless texts have no words and a score of nought;
-repeated rows and ids each come back, and each counts towards the corpus; an empty table
+repeated rows and ids each come back, and each counts towards the others; an empty table
 gives an empty result. Other columns are not read.
 """
 
@@ -24,15 +25,16 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspar.llm.hashing import mix, slices, word_hashes
 from lumenspar.work import materialize, remove, work_path
 
-ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
-#: Documents in a chunk, and n-grams in a bucket that one task holds at a time.
-CHUNK_ROWS = 2048
+ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
+#: Bytes in a chunk at most, but for a longer document, which is a chunk of its own, and
+#: n-grams in a bucket that one task holds at a time.
+CHUNK_BYTES = 1 << 24
 BUCKET_NGRAMS = 2_000_000
 #: N-grams are known by 56 bits of hash: sorted differences then take some five bytes each.
 #: Among 10^13 different n-grams one in 7,000 shares its count with another one.
@@ -122,10 +124,20 @@ def _merge(blocks: pa.Table) -> pa.Table:
     return pa.table({"chunk": blocks.column("chunk"), "bucket": blocks.column("bucket"), "totals": pa.array(found, pa.binary())})
 
 
-SCORE = "n_words long, n_order3 long, n_order2 long, n_order1 long, log_score double"
+SCORE = "n_words long, n_order3 long, n_order2 long, n_order1 long, n_unseen long, log_score double"
 
 
-def _scores(order: int, n_buckets: int, min_count: int, backoff: float) -> Callable:
+def _own(grams: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How often each n-gram stands in its own document."""
+    order = np.lexsort((grams, row))
+    new = np.append(True, (grams[order][1:] != grams[order][:-1]) | (row[order][1:] != row[order][:-1]))
+    begins = np.flatnonzero(new)
+    out = np.empty(len(grams), np.int64)
+    out[order] = np.repeat(np.diff(np.append(begins, len(grams))), np.diff(np.append(begins, len(grams))))
+    return out
+
+
+def _scores(order: int, n_buckets: int, backoff: float) -> Callable:
     def run(chunk: pa.Table, totals: pa.Table) -> pa.Table:
         grams, at = ngrams(chunk.column("text"), order)
         values, _ = _distinct(grams, int(at[-1]))
@@ -133,29 +145,42 @@ def _scores(order: int, n_buckets: int, min_count: int, backoff: float) -> Calla
         total = np.concatenate([_unpack(by_bucket[b], np.int64) for b in sorted(by_bucket)])
         if len(total) != len(values):
             raise ValueError("a chunk met the counts of other documents")
-        count = lambda g: np.where(g != 0, total[np.searchsorted(values, g).clip(max=len(values) - 1)], 0)
-        c = [count(g) for g in grams]
-        n_all = total[np.searchsorted(values, _WORDS)]
-        level = np.full(len(c[0]), 1)
-        log = np.log(c[0] / max(n_all, 1)) if len(c[0]) else np.zeros(0)
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        # counts without the document's own
+        others = lambda g: np.where(g != 0, total[np.searchsorted(values, g).clip(max=len(values) - 1)] - _own(g, row), 0)
+        c = [others(g) for g in grams] if len(row) else [np.zeros(0, np.int64)] * order
+        n_all = np.maximum(total[np.searchsorted(values, _WORDS)] - np.diff(at), 1)[row]
+        level = np.where(c[0] > 0, 1, 0)
+        log = np.log(np.maximum(c[0], UNSEEN) / n_all)
         for k in range(2, order + 1):
-            before = np.concatenate(([1], c[k - 2][:-1])) if len(c[0]) else np.zeros(0)
-            known = (c[k - 1] >= min_count) & (grams[k - 1] != 0)
+            before = np.append(1, c[k - 2][:-1]) if len(row) else np.zeros(0)
+            known = (c[k - 1] > 0) & (grams[k - 1] != 0)
             log = np.where(known, np.log(np.maximum(c[k - 1], 1) / np.maximum(before, 1)), log + np.where(grams[k - 1] != 0, np.log(backoff), 0.0))
             level = np.where(known, k, level)
-        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
         sums = lambda x: np.bincount(row, x, minlength=len(at) - 1)
         out = {"doc_id": chunk.column("doc_id"), "n_words": pa.array(np.diff(at), pa.int64())}
         out |= {f"n_order{k}": pa.array(sums(level == k).astype(np.int64)) for k in (3, 2, 1)}
-        return pa.table(out | {"log_score": pa.array(sums(log))})
+        return pa.table(out | {"n_unseen": pa.array(sums(level == 0).astype(np.int64)), "log_score": pa.array(sums(log))})
 
     return run
 
 
+def _chunk(size: Column, chunk_bytes: int) -> Column:
+    """A number for each row's chunk: rows of like length, as many as the bytes allow; the longest alone.
+
+    Steps of 16 in length: shorter than 1/2048 of a chunk, 1/128, 1/8, or longer.
+    """
+    row, size = F.monotonically_increasing_id(), size.cast("long")
+    out = row * 4 + 3
+    for tag, bits in ((2, 3), (1, 7), (0, 11)):
+        out = F.when(size * 2**bits <= chunk_bytes, F.shiftright(row, bits) * 4 + tag).otherwise(out)
+    return out
+
+
 def lm_scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, chunk_bytes: int = CHUNK_BYTES
 ) -> DataFrame:
-    """Per document: doc_id, n_words, the words scored at each order, and log_score (natural log, summed).
+    """Per document: doc_id, n_words, the words scored at each order or unseen, and log_score (natural log, summed).
 
     The chunks are written once, bucketed by chunk, so neither grouping by chunk nor the
     meeting with the counts moves a text; only blocks and counts are shuffled.
@@ -168,13 +193,13 @@ def lm_scores(
     n_buckets = max(1, -(-int(letters * order / 5.5) // BUCKET_NGRAMS))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"lumenspar_lm_{uuid.uuid4().hex}", work_path(spark, "chunks")
-    chunked = narrow.select(F.expr(f"monotonically_increasing_id() div {CHUNK_ROWS}").alias("chunk"), "doc_id", "text")
+    chunked = narrow.select(_chunk(F.octet_length("text"), chunk_bytes).alias("chunk"), "doc_id", "text")
     chunked.write.bucketBy(parts, "chunk").sortBy("chunk").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     try:
         table = spark.table(name)
         blocks = table.groupBy("chunk").applyInArrow(_blocks(order, n_buckets), "bucket long, chunk long, grams binary, counts binary")
         totals = blocks.groupBy("bucket").applyInArrow(_merge, "chunk long, bucket long, totals binary")
-        scores = table.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_scores(order, n_buckets, min_count, backoff), f"doc_id {kind}, {SCORE}")
+        scores = table.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_scores(order, n_buckets, backoff), f"doc_id {kind}, {SCORE}")
         return materialize(scores, "scores")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
@@ -190,20 +215,21 @@ SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT row, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS c FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
-n0 AS (SELECT count(*)::DOUBLE AS n FROM p),
-n1 AS (SELECT a, count(*)::DOUBLE AS n FROM p GROUP BY a),
-n2 AS (SELECT b, a, count(*)::DOUBLE AS n FROM p WHERE b IS NOT NULL GROUP BY b, a),
-n3 AS (SELECT c, b, a, count(*)::DOUBLE AS n FROM p WHERE c IS NOT NULL GROUP BY c, b, a),
+own AS (SELECT *, count(*) OVER (PARTITION BY row) AS k0, count(*) OVER (PARTITION BY row, a) AS k1, count(*) OVER (PARTITION BY row, b, a) AS k2, count(*) OVER (PARTITION BY row, c, b, a) AS k3 FROM p),
+every AS (
+  SELECT *, count(*) OVER () AS t0, count(*) OVER (PARTITION BY a) AS t1, count(*) OVER (PARTITION BY b, a) AS t2, count(*) OVER (PARTITION BY c, b, a) AS t3 FROM own),
+n AS (
+  SELECT row, i, b, c, greatest(t0 - k0, 1)::DOUBLE AS n0, (t1 - k1)::DOUBLE AS n1, CASE WHEN b IS NULL THEN 0 ELSE t2 - k2 END::DOUBLE AS n2,
+    CASE WHEN c IS NULL THEN 0 ELSE t3 - k3 END::DOUBLE AS n3 FROM every),
+x AS (SELECT *, lag(n1) OVER (PARTITION BY row ORDER BY i) AS x1, lag(n2) OVER (PARTITION BY row ORDER BY i) AS x2 FROM n),
 s AS (
-  SELECT row,
-    CASE WHEN n3.n >= 2 THEN 3 WHEN n2.n >= 2 THEN 2 ELSE 1 END AS level,
-    CASE WHEN n3.n >= 2 THEN ln(n3.n / x2.n)
-         WHEN n2.n >= 2 THEN ln(n2.n / x1.n) + CASE WHEN p.c IS NOT NULL THEN ln(0.4) ELSE 0 END
-         ELSE ln(n1.n / n0.n) + CASE WHEN p.b IS NOT NULL THEN ln(0.4) ELSE 0 END + CASE WHEN p.c IS NOT NULL THEN ln(0.4) ELSE 0 END END AS x
-  FROM p CROSS JOIN n0 JOIN n1 ON p.a = n1.a LEFT JOIN n2 ON p.b = n2.b AND p.a = n2.a LEFT JOIN n3 ON p.c = n3.c AND p.b = n3.b AND p.a = n3.a
-  LEFT JOIN n1 x1 ON p.b = x1.a LEFT JOIN n2 x2 ON p.c = x2.b AND p.b = x2.a),
-t AS (SELECT row, count(*) AS n, sum((level = 3)::INT) AS n3, sum((level = 2)::INT) AS n2, sum((level = 1)::INT) AS n1, sum(x) AS x FROM s GROUP BY row)
+  SELECT row, CASE WHEN n3 > 0 THEN 3 WHEN n2 > 0 THEN 2 WHEN n1 > 0 THEN 1 ELSE 0 END AS level,
+    CASE WHEN n3 > 0 THEN ln(n3 / x2)
+         WHEN n2 > 0 THEN ln(n2 / x1) + CASE WHEN c IS NOT NULL THEN ln(0.4) ELSE 0 END
+         ELSE ln(greatest(n1, 0.5) / n0) + CASE WHEN b IS NOT NULL THEN ln(0.4) ELSE 0 END + CASE WHEN c IS NOT NULL THEN ln(0.4) ELSE 0 END END AS x
+  FROM x),
+t AS (SELECT row, count(*) AS n, sum((level = 3)::INT) AS n3, sum((level = 2)::INT) AS n2, sum((level = 1)::INT) AS n1, sum((level = 0)::INT) AS n0, sum(x) AS x FROM s GROUP BY row)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(n3, 0)::BIGINT AS n_order3, coalesce(n2, 0)::BIGINT AS n_order2,
-  coalesce(n1, 0)::BIGINT AS n_order1, round(coalesce(x, 0), 4) AS log_score
+  coalesce(n1, 0)::BIGINT AS n_order1, coalesce(n0, 0)::BIGINT AS n_unseen, round(coalesce(x, 0), 4) AS log_score
 FROM d LEFT JOIN t USING (row)
 """

@@ -151,6 +151,12 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.judge_urls(pages.where("page_id < 4")).collect()} <= {"allow"}
 
 
+def test_a_repeated_url_trains_once(spark):
+    urls = [f"http://site{i}.{'com/en' if i % 2 else 'net/de'}/{i}" for i in range(60)] + [f"http://other{i}.org/{'en' if i % 2 else 'de'}/x{i}" for i in range(20)]
+    verdicts = lambda us: {(r.host, r.path): (r.verdict, r.score) for r in url_filter.judge_urls(spark.createDataFrame([(i, u) for i, u in enumerate(us)], "page_id long, url string")).collect()}
+    assert verdicts(urls) == verdicts(urls + [urls[0]] * 300)
+
+
 def test_archives(spark):
     rows = [(1, "http://a/\r\nX: y", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (None, "n", "same"), (5, "b", "é" * 200_000), (5, "b", "é" * 200_000), (6, "c", "\r\n\r\nWARC/1.1\r\n"), (None, "z", "only null")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as key", "2 as first", "'x' as payload", "3 as id", "'y' as record_id")

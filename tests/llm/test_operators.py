@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lumenspar.llm import hashing, line_dedup, near_dedup, pack, quality_classifier, substring_dedup, warc
+from lumenspar.llm import hashing, line_dedup, lm_score, near_dedup, pack, quality_classifier, substring_dedup, warc
 from lumenspar.llm.encode import encoder
 from lumenspar.llm.queries import ORACLE, QUERIES
 from lumenspar.work import work_path
@@ -477,3 +477,15 @@ def test_long_runs_need_all_rounds(spark):
     out = {r.doc_id: r for r in line_dedup.line_dedup(docs, min_lines=65, min_chars=10**6).collect()}
     assert out[2].text == "new\nend" and (out[2].n_runs, out[2].longest_run, out[2].longest_source) == (1, 70, 1)
     assert out[3].n_deleted == 0
+
+
+def test_scores_do_not_depend_on_chunks(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    key = lambda df: sorted((r.doc_id, r.n_order3, r.n_unseen, round(r.log_score, 4)) for r in df.collect())
+    assert key(lm_score.lm_scores(docs, chunk_bytes=20_000)) == key(lm_score.lm_scores(docs))
+
+
+def test_chunks_are_bounded_in_bytes(spark):
+    rows = spark.range(6000).selectExpr("cast(case when id % 500 = 7 then 3000000 when id % 5 = 0 then 30000 else 1500 end as int) as size")
+    chunks = rows.select("size", lm_score._chunk(F.col("size"), 1 << 21).alias("chunk")).groupBy("chunk").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+    assert all(r.bytes <= 1 << 21 or r.n == 1 for r in chunks) and sum(r.n for r in chunks) == 6000
