@@ -91,14 +91,19 @@ def hamming(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([int(np.bitwise_count(np.frombuffer(x, np.uint8) ^ np.frombuffer(y, np.uint8)).sum()) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def refine(v: np.ndarray, passes: int = 2, eta: float = 10.0) -> np.ndarray:
+#: Longer vectors are not refined.
+MAX_REFINED = 128
+
+
+def refine(v: np.ndarray, passes: int = 1, eta: float = 10.0) -> np.ndarray:
     """Anisotropic codes: one step up or down a coordinate where that lowers the loss.
 
-    The loss weighs the error across the vector ``eta`` times the error along it.
+    The loss weighs the error across the vector ``eta`` times the error along it. Vectors
+    of more than ``MAX_REFINED`` coordinates, and those of no length, keep plain codes.
     """
     codes = np.clip(np.trunc(v * 127 + np.copysign(0.5, v)), -127, 127)
     n2 = float(v @ v)
-    if n2 < 1e-18:
+    if n2 <= 1e-18 or len(v) > MAX_REFINED:
         return codes.astype(np.int8)
 
     error = codes / 127 - v

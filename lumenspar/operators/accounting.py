@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GIB = 1024.0**3
@@ -88,7 +88,11 @@ def stale_peers(beats: DataFrame, now: Column, ttl_seconds: int = 30) -> DataFra
     return beats.groupBy("peer").agg(F.max("ts").alias("last_seen")).withColumn("stale", now - F.col("last_seen") > F.make_dt_interval(secs=F.lit(ttl_seconds)))
 
 
-def latest(log: DataFrame, key: str = "id", clock: str = "clock") -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc(clock))
-    return log.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def latest(log: DataFrame, key: str = "id", *clock: str) -> DataFrame:
+    """The last row of each key by the clock columns (``clock`` if none is named), earlier ones first.
+
+    The best row of a key is found map-side first, so a key with many writes is no hot spot.
+    """
+    order = F.struct(*(clock or ("clock",)))
+    best = log.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*log.columns), order).alias("_row"))
+    return best.select("_row.*")

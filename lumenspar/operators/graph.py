@@ -27,7 +27,7 @@ def knn_graph(points: DataFrame, k: int, metric: str = "l2") -> DataFrame:
 
 def level(id_col: Column, top: int = 15) -> Column:
     """A point's layer: trailing zeros of its hash, so each layer holds half of the one below."""
-    h = F.xxhash64(id_col)
+    h = F.conv(F.substring(F.md5(id_col.cast("string")), 1, 8), 16, 10).cast("long")
     low = h.bitwiseAND(-h)
     return F.least(F.when(h == 0, F.lit(top)).otherwise(F.bit_count(low - 1)).cast("int"), F.lit(top))
 
@@ -99,6 +99,13 @@ def concept_parents(layered: DataFrame, of: int, layer: int = 0, limit: int = 32
     return found.orderBy("rank").limit(limit).select("layer", "dst", "distance")
 
 
+def all_concept_parents(layered: DataFrame, layer: int = 0, limit: int = 32) -> DataFrame:
+    """(src, layer, dst, distance) of all points of a layer: neighbours one layer up, or on the same one."""
+    up = layered.where(F.col("layer") == layer + 1)
+    own = layered.where(F.col("layer") == layer).join(up.select("src").distinct(), "src", "left_anti")
+    return up.unionByName(own).where(F.col("rank") <= limit).select("src", "layer", "dst", "distance")
+
+
 def traverse(edges: DataFrame, start: int, max_depth: int = 2, max_nodes: int = 256, breadth: int | None = None, dead: DataFrame | None = None) -> DataFrame:
     """(id, depth) breadth-first from a point; ``dead(id)`` rows are not entered.
 
@@ -146,7 +153,7 @@ def hops(edges: DataFrame, a: int, b: int, max_depth: int = 6) -> int | None:
     seen = edges.sparkSession.createDataFrame([(a,)], "id long")
     frontier = seen
     for depth in range(1, max_depth + 1):
-        step = both.join(F.broadcast(frontier.toDF("src")), "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        step = both.join(frontier.toDF("src"), "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
         frontier = materialize(step, "hops")
         if not frontier.where(F.col("id") == b).isEmpty():
             return depth
@@ -205,15 +212,18 @@ def wave_from(points: DataFrame, edges: DataFrame, query: Sequence[float], k: in
 
 
 def _fnv(ids: pd.Series, vectors: pd.Series) -> pd.Series:
-    out = []
-    with np.errstate(over="ignore"):
-        prime = np.uint64(1099511628211)
-        for i, v in zip(ids, vectors, strict=True):
-            h = np.uint64(14695981039346656037)
-            for byte in int(i).to_bytes(4, "little") + np.asarray(v, "<f8").tobytes():
-                h = (h ^ np.uint64(byte)) * prime
-            out.append(h.view(np.int64) if hasattr(h, "view") else np.int64(h))
-    return pd.Series(out, dtype="int64")
+    """FNV-1a over the id's low 32 bits and the vector's bytes; all rows of one length at a time."""
+    out = np.zeros(len(ids), np.int64)
+    sizes = vectors.map(len).to_numpy()
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        low = (ids.to_numpy()[at].astype(np.int64) & 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(len(at), 4)
+        rest = np.array([np.asarray(v, "<f8") for v in vectors.iloc[at]], "<f8").reshape(len(at), size).view(np.uint8).reshape(len(at), 8 * size)
+        h = np.full(len(at), 14695981039346656037, np.uint64)
+        for column in np.concatenate((low, rest), axis=1).T.astype(np.uint64):
+            h = (h ^ column) * np.uint64(1099511628211)
+        out[at] = h.view(np.int64)
+    return pd.Series(out)
 
 
 point_hash = F.pandas_udf(_fnv, T.LongType())
@@ -221,7 +231,7 @@ point_hash = F.pandas_udf(_fnv, T.LongType())
 
 def digest(points: DataFrame, buckets: int = 256) -> DataFrame:
     """(bucket, hash, n): XOR of the point hashes of each id bucket."""
-    return points.groupBy((F.col("id") % buckets).alias("bucket")).agg(
+    return points.groupBy(F.pmod("id", F.lit(buckets)).alias("bucket")).agg(
         F.expr("bit_xor(h)").alias("hash"), F.count(F.lit(1)).alias("n")
     ) if "h" in points.columns else digest(points.withColumn("h", point_hash("id", "vector")), buckets)
 
@@ -237,7 +247,7 @@ def handshake(mine: DataFrame, theirs: DataFrame) -> DataFrame:
 
 
 def sync_pull(points: DataFrame, wanted: Sequence[int], buckets: int = 256) -> DataFrame:
-    return points.where((F.col("id") % buckets).isin(list(wanted)))
+    return points.where(F.pmod("id", F.lit(buckets)).isin(list(wanted)))
 
 
 def sync_push(points: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import zipfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cache
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyspark
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenspar.functions.vectors import let
+from lumenspar.work import materialize
 
 METHODS = ("robertson", "lucene", "atire", "bm25l", "bm25plus")
 
@@ -56,12 +61,26 @@ _ALIASES = {
 
 
 def stopwords(language: str) -> list[str]:
-    """Stop words by language name or two-letter code, whatever the case; unknown ones have none."""
-    from pyspark.ml.feature import StopWordsRemover
+    """Stop words by language name or two-letter code, whatever the case; unknown ones have none.
 
+    The lists are Spark's own, read from its library, so that no session is needed.
+    """
     name = language.lower()
     name = _ALIASES.get(name, name)
-    return sorted({w.lower() for w in StopWordsRemover.loadDefaultStopWords(name)}) if name in _ALIASES.values() else []
+    return _stopwords(name) if name in _ALIASES.values() else []
+
+
+@cache
+def _stopwords(name: str) -> list[str]:
+    found = sorted(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
+    if found:
+        with zipfile.ZipFile(found[0]) as jar:
+            words = jar.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode().splitlines()
+    else:
+        from pyspark.ml.feature import StopWordsRemover
+
+        words = StopWordsRemover.loadDefaultStopWords(name)
+    return sorted({w.lower() for w in words if w})
 
 
 def _porter(word: str) -> str:
@@ -126,9 +145,13 @@ def stem(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: [cache[w] if w in cache else cache.setdefault(w, _porter(w)) for w in ws], na_action="ignore")
 
 
-def document_text(metadata: Column) -> Column:
-    """All values of a metadata map, keys with a double underscore left out."""
-    return F.array_join(F.map_values(F.map_filter(metadata, lambda k, _: ~k.startswith("__"))), " ")
+#: Keys that begin so are the system's own (a fixed value).
+RESERVED = "__hs_"
+
+
+def document_text(metadata: Column, reserved: str = RESERVED) -> Column:
+    """All values of a metadata map, but for reserved keys."""
+    return F.array_join(F.map_values(F.map_filter(metadata, lambda k, _: ~k.startswith(reserved))), " ")
 
 
 @dataclass(frozen=True)
@@ -148,6 +171,32 @@ def build_index(docs: DataFrame, id_col: str, token_col: Column) -> LexicalIndex
     return LexicalIndex(postings, lengths, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
 
+def upsert(index: LexicalIndex, docs: DataFrame, id_col: str, token_col: Column) -> LexicalIndex:
+    """The index with some documents put in or in the place of their older selves.
+
+    Only the changed documents are tokenized; document frequencies move by what their
+    postings take away and bring.
+    """
+    new = build_index(docs, id_col, token_col)
+    ids = new.lengths.select("id")
+    gone = index.postings.join(ids, "id", "left_semi")
+    moved = index.df.select("term", "df").unionByName(gone.select("term", F.lit(-1).cast("long").alias("df"))).unionByName(new.postings.select("term", F.lit(1).cast("long").alias("df")))
+    postings = index.postings.join(ids, "id", "left_anti").unionByName(new.postings)
+    lengths = index.lengths.join(ids, "id", "left_anti").unionByName(new.lengths)
+    return LexicalIndex(postings, lengths, moved.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0"))
+
+
+def store_index(index: LexicalIndex, path: str) -> LexicalIndex:
+    """Writes the index as tables, postings sorted by term, and returns it as it reads from there."""
+    for name, frame in (("postings", index.postings.repartitionByRange("term").sortWithinPartitions("term", "id")), ("lengths", index.lengths), ("df", index.df)):
+        frame.write.mode("overwrite").parquet(f"{path}/{name}")
+    return load_index(index.postings.sparkSession, path)
+
+
+def load_index(spark: SparkSession, path: str) -> LexicalIndex:
+    return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "df")))
+
+
 def corpus_stats(index: LexicalIndex) -> DataFrame:
     """One row: n documents and their mean length, at least 1."""
     return index.lengths.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
@@ -230,6 +279,50 @@ def hybrid_search(
 
 
 def vocabulary(index: LexicalIndex) -> DataFrame:
-    """(term, token_id): ids by falling frequency, then by term."""
-    order = Window.orderBy(F.desc("df"), "term")
-    return index.df.select("term", (F.row_number().over(order) - 1).alias("token_id"))
+    """(term, df, token_id): ids by falling frequency, then by term.
+
+    Terms are sorted by range; a task's ids begin where those of the tasks before it end,
+    which takes one row a task.
+    """
+    placed = materialize(index.df.orderBy(F.desc("df"), "term").select("term", "df", F.monotonically_increasing_id().alias("place")), "vocabulary")
+    placed = placed.select("term", "df", F.shiftright("place", 33).alias("task"), F.col("place").bitwiseAND(F.lit((1 << 33) - 1)).alias("within"))
+    before = F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    starts = placed.groupBy("task").agg(F.count(F.lit(1)).alias("n")).select("task", F.coalesce(before, F.lit(0)).alias("start"))
+    return placed.join(F.broadcast(starts), "task").select("term", "df", (F.col("start") + F.col("within")).alias("token_id"))
+
+
+#: Marks that part words in the benchmark's tokenizer (fixed values).
+MARKS = ".,!?;:\"()[]{}<>-_/\\*&^%$#@`~+=|"
+
+
+def benchmark_tokens(text: Column) -> Column:
+    """Words of two characters or more between space and marks, without English stop words (apostrophes dropped)."""
+    stop = sorted({w.replace("'", "") for w in stopwords("en")})
+    words = F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKS, " " * len(MARKS)), "(?U)\\s+")
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*stop))
+
+
+def benchmark_scores(index: LexicalIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score) of queries(query_id, term); a term that a query has twice counts twice."""
+    stats = corpus_stats(index).first()
+    wanted = queries.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    found = wanted.join(index.df, "term").join(index.postings, "term").join(index.lengths, "id")
+    weight = idf("lucene", F.lit(float(stats.n)), F.col("df")) * (k1 + 1)
+    score = weight * F.col("times") * term_score("lucene", F.col("tf"), F.col("dl"), F.lit(float(stats.avgdl)), k1, b, 0.0)
+    return found.groupBy("query_id", "id").agg(F.sum(score).alias("score"))
+
+
+def directed_fusion(vector_hits: DataFrame, text_hits: DataFrame, vector_weight: float = 0.85) -> DataFrame:
+    """(query_id, id, score): min-max scores of both lists added up by weight.
+
+    ``vector_hits(query_id, id, score, rank)`` are likenesses if the first hit's score is no
+    smaller than the last's, else distances, which are turned round.
+    """
+    by = Window.partitionBy("query_id")
+    low, high = F.min("score").over(by), F.max("score").over(by)
+    part = (F.col("score") - low) / F.greatest(high - low, F.lit(1e-9))
+    rising = F.min_by("score", "rank").over(by) >= F.max_by("score", "rank").over(by)
+    v = vector_hits.select("query_id", "id", F.when(rising, part).otherwise(1 - part).alias("v"))
+    t = text_hits.select("query_id", "id", part.alias("t"))
+    both = v.join(t, ["query_id", "id"], "full")
+    return both.select("query_id", "id", (vector_weight * F.coalesce("v", F.lit(0.0)) + (1 - vector_weight) * F.coalesce("t", F.lit(0.0))).alias("score"))

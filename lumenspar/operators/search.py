@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +13,8 @@ from lumenspar.functions import fuzzy
 from lumenspar.functions.distance import EXACT, METRICS, wasserstein
 from lumenspar.functions.vectors import mean_vector, vec
 
-#: Queries that travel in one broadcast block.
-QUERY_BLOCK = 4096
+#: Queries, and points, of a block at most, about.
+QUERY_BLOCK, POINT_BLOCK = 4096, 65_536
 
 
 def search(points: DataFrame, query: Sequence[float], k: int, metric: str = "l2", where: Column | None = None) -> DataFrame:
@@ -48,22 +48,67 @@ def _distances(metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return {"l2": l2, "euclidean": l2, "cosine": lambda q, x: l2(unit(q), unit(x)), "poincare": poincare, "lorentz": lorentz, "hybrid": hybrid}[metric]
 
 
-def _partial_top(ids: list, vectors: np.ndarray, k: int, metric: str) -> Callable:
-    measure = _distances(metric)
+def smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k smallest of each row, with their ids; distances equal to 9 digits go by id."""
+    near = np.round(np.where(np.isnan(d), np.inf, d), 9)
+    n, width = near.shape
+    if width > k:
+        row, col = np.nonzero(near <= np.partition(near, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        row, col = np.divmod(np.arange(n * width), max(width, 1))
+    order = np.lexsort((ids[row, col], near[row, col], row))
+    row, col = row[order], col[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, col = row[kept].reshape(n, -1), col[kept].reshape(n, -1)
+    return d[row, col], ids[row, col]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_d = np.full((len(ids), 0), np.inf)
-        best_i = np.zeros((len(ids), 0), np.int64)
+
+class _Top:
+    """The best k points of some queries so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, metric: str):
+        self.ids, self.vectors, self.k, self.measure = ids, vectors, k, _distances(metric)
+        self.d, self.i = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        for at in range(0, len(ids), 8192):
+            some = ids[at : at + 8192]
+            d, i = smallest(self.measure(self.vectors, vectors[at : at + 8192]), np.broadcast_to(some, (len(self.ids), len(some))), self.k)
+            self.d, self.i = smallest(np.concatenate((self.d, d), axis=1), np.concatenate((self.i, i), axis=1), self.k)
+
+    def columns(self) -> list[pa.Array]:
+        width = self.d.shape[1]
+        return [pa.array(np.repeat(self.ids, width)), pa.array(self.i.ravel()), pa.array(self.d.ravel())]
+
+
+_FOUND, _FOUND_NAMES = "query_id long, id long, distance double", ["query_id", "id", "distance"]
+
+
+def _rows(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    vectors = batch.column("vector")
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return batch.column("id").to_numpy().astype(np.int64), flat.reshape(batch.num_rows, -1)
+
+
+def _scan(ids: np.ndarray, vectors: np.ndarray, k: int, metric: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = _Top(ids, vectors, k, metric)
         for batch in batches:
-            if batch.empty:
-                continue
-            d = np.concatenate((best_d, measure(vectors, np.stack(batch["vector"].to_numpy()).astype(float))), axis=1)
-            i = np.concatenate((best_i, np.broadcast_to(batch["id"].to_numpy()[None, :], (len(ids), len(batch)))), axis=1)
-            # ties go to the smaller id; distances equal to 9 digits count as ties
-            order = np.lexsort((i, np.round(d, 9)), axis=1)[:, :k]
-            best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        for q, row in enumerate(ids):
-            yield pd.DataFrame({"query_id": row, "id": best_i[q], "distance": best_d[q]})
+            if batch.num_rows:
+                top.add(*_rows(batch))
+        yield pa.RecordBatch.from_arrays(top.columns(), names=_FOUND_NAMES)
+
+    return run
+
+
+def _meet(k: int, metric: str) -> Callable:
+    def run(queries: pa.Table, points: pa.Table) -> pa.Table:
+        if not queries.num_rows or not points.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=_FOUND_NAMES)
+        top = _Top(*_rows(queries), k, metric)
+        top.add(*_rows(points))
+        return pa.table(top.columns(), names=_FOUND_NAMES)
 
     return run
 
@@ -71,26 +116,25 @@ def _partial_top(ids: list, vectors: np.ndarray, k: int, metric: str) -> Callabl
 def batch_search(points: DataFrame, queries: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
     """(query_id, id, distance, rank) of each query's k nearest points.
 
-    Queries go out in blocks of ``QUERY_BLOCK`` rows, whatever their number; each task
-    keeps k candidates a query by matrix products, and one window merges those, so what
-    is shuffled is tasks x queries x k narrow rows and no pair is ever a row.
+    Up to ``QUERY_BLOCK`` queries travel to the points, which are scanned where they lie.
+    More queries, and the points, are dealt into blocks by hash, and each pair of blocks
+    meets in one task; the driver sees none of them. Either way a task keeps k candidates a
+    query by matrix products and one window merges those, so no pair is ever a row.
     """
     some = k + 1 if exclude_self else k
-    found: DataFrame | None = None
-    block: list = []
-
-    def scan(rows: list) -> DataFrame:
-        ids, vectors = [r.id for r in rows], np.array([r.vector for r in rows], float)
-        return points.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(
-            _partial_top(ids, vectors, some, metric), "query_id long, id long, distance double"
-        )
-
-    for row in queries.select("id", "vector").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            found, block = scan(block) if found is None else found.unionByName(scan(block)), []
-    if block or found is None:
-        found = (scan(block) if found is None else found.unionByName(scan(block))) if block else points.sparkSession.createDataFrame([], "query_id long, id long, distance double")
+    narrow = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    points, queries = narrow(points), narrow(queries)
+    n = queries.count()
+    if n <= QUERY_BLOCK:
+        rows = queries.collect()
+        ids, vectors = np.array([r.id for r in rows], np.int64), np.array([r.vector for r in rows], float)
+        found = points.mapInArrow(_scan(ids, vectors, some, metric), _FOUND) if rows else points.sparkSession.createDataFrame([], _FOUND)
+    else:
+        over, down = -(-n // QUERY_BLOCK), max(1, -(-points.count() // POINT_BLOCK))
+        each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        q = queries.select("*", F.pmod(F.xxhash64("id"), F.lit(over)).cast("int").alias("i"), each(down).alias("j"))
+        p = points.select("*", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(down)).cast("int").alias("j"), each(over).alias("i"))
+        found = q.groupBy("i", "j").cogroup(p.groupBy("i", "j")).applyInArrow(_meet(some, metric), _FOUND)
     if exclude_self:
         found = found.where("query_id <> id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id"))

@@ -78,7 +78,10 @@ def f14_vacuum(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str, config: L.LexicalConfig = L.LexicalConfig()) -> L.LexicalIndex:  # noqa: B008
-    return L.build_index(X.table(spark, d, "documents"), "doc_id", L.tokens(F.col("text"), config))
+    """The documents' index, written once: each query reads postings of its terms and tokenizes nothing again."""
+    from lumenspar.work import work_path
+
+    return L.store_index(L.build_index(X.table(spark, d, "documents"), "doc_id", L.tokens(F.col("text"), config)), work_path(spark, "index"))
 
 
 _IDX = f"""tok AS (SELECT doc_id AS id, {_TOK} AS w FROM documents), len_ AS (SELECT id, len(w) AS dl FROM tok),
@@ -97,19 +100,24 @@ def l02_stems(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.size(F.array_distinct(L.tokens(F.col("text"), L.LexicalConfig(stem=True)))).alias("n_stems"))
 
 
-_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in ("the", "and", "of", "is", "in", "to", "a"))
+_STOP_OF = {x: ", ".join("'" + w.replace("'", "''") + "'" for w in L.stopwords(x)) for x in ("en", "fr", "de", "es")}
+_LANGS = " ".join(f"WHEN lang = '{x}' THEN list_filter(w, lambda x: x NOT IN ({words}))" for x, words in _STOP_OF.items())
 
 
-@query("l03_stopwords")
+@query("l03_stopwords", f"""WITH t AS (SELECT doc_id, lang, {_TOK} AS w FROM documents), k AS (SELECT doc_id, CASE {_LANGS} ELSE w END AS w FROM t)
+SELECT doc_id, len(w)::BIGINT AS n_tokens, md5(array_to_string(w, ' ')) AS digest FROM k""")
 def l03_stopwords(spark: SparkSession, d: str) -> DataFrame:
-    w = L.tokens(F.col("text"), L.LexicalConfig(language="EN"))
-    return X.table(spark, d, "documents").select("doc_id", F.size(w).cast("long").alias("n_tokens"))
+    """Each document without the stop words of its own language."""
+    w = L.tokens(F.col("text"))
+    for x in _STOP_OF:
+        w = F.when(F.col("lang") == x, L.tokens(F.col("text"), L.LexicalConfig(language=x))).otherwise(w)
+    kept = X.table(spark, d, "documents").select("doc_id", w.alias("w"))
+    return kept.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
-@query("l04_vocabulary", f"WITH {_IDX} SELECT term, df::BIGINT AS df, row_number() OVER (ORDER BY df DESC, term) - 1 AS token_id FROM df QUALIFY token_id < 500")
+@query("l04_vocabulary", f"WITH {_IDX} SELECT term, df::BIGINT AS df, row_number() OVER (ORDER BY df DESC, term) - 1 AS token_id FROM df")
 def l04_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    index = _index(spark, d)
-    return L.vocabulary(index).where("token_id < 500").join(index.df, "term").select("term", "df", F.col("token_id").cast("long").alias("token_id"))
+    return L.vocabulary(_index(spark, d)).select("term", "df", F.col("token_id").cast("long").alias("token_id"))
 
 
 @query("l05_ngrams", f"""WITH {_IDX}, g AS (SELECT id, w || list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || '_' || w[i + 1] || '_' || w[i + 2]) AS g FROM tok)
@@ -124,9 +132,9 @@ def l06_postings(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).postings.select("term", "id", F.col("tf").cast("long").alias("tf"))
 
 
-@query("l06_document_text", "SELECT p_partkey, p_brand || ' ' || p_name AS text FROM part")
+@query("l06_document_text", "SELECT p_partkey, p_brand || ' ' || p_name || ' ' || p_size AS text FROM part")
 def l06_text(spark: SparkSession, d: str) -> DataFrame:
-    meta = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("name"), F.col("p_name"), F.lit("__hidden"), F.col("p_type"))
+    meta = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("name"), F.col("p_name"), F.lit("__hs_type"), F.col("p_type"), F.lit("__own"), F.col("p_size").cast("string"))
     return X.table(spark, d, "part").select("p_partkey", L.document_text(meta).alias("text"))
 
 
@@ -203,28 +211,61 @@ def l14_hybrid(spark: SparkSession, d: str) -> DataFrame:
 query("l15_no_terms", X.top("l2", 10))(lambda spark, d: L.hybrid_search(_hits(spark, d)[0], _index(spark, d), [], 10).select("id", F.round("distance", 6).alias("distance")))
 
 
-@query("l17_reindex_upserts", f"""WITH d AS (SELECT doc_id % 500 AS id, text, row_number() OVER (PARTITION BY doc_id % 500 ORDER BY doc_id DESC) AS r FROM documents),
-t AS (SELECT id, unnest({_TOK}) AS term FROM d WHERE r = 1) SELECT term, count(DISTINCT id) AS df FROM t GROUP BY term""")
+@query("l17_reindex_upserts", f"""WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN lang || ' ' || source || ' rewritten' ELSE text END AS text FROM documents),
+t AS (SELECT id, unnest({_TOK}) AS term FROM d) SELECT term, count(DISTINCT id) AS df FROM t GROUP BY term""")
 def l17_reindex(spark: SparkSession, d: str) -> DataFrame:
-    from lumenspar.operators.accounting import latest
+    """All documents indexed, every seventh of them rewritten; the index is kept up, not built again."""
+    docs = X.table(spark, d, "documents")
+    rewritten = docs.where("doc_id % 7 = 0").select("doc_id", F.concat_ws(" ", "lang", "source", F.lit("rewritten")).alias("text"))
+    index = L.build_index(docs, "doc_id", L.tokens(F.col("text")))
+    return L.upsert(index, rewritten, "doc_id", L.tokens(F.col("text"))).df
+
+
+_STOPS = ", ".join("'" + w + "'" for w in sorted({w.replace("'", "") for w in L.stopwords("en")}))
+_MARKED = "'" + L.MARKS + "'"
+_BWORDS = f"list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')), {_MARKED}, repeat(' ', {len(L.MARKS)})), '[\\s\\x0b]+'), lambda x: length(x) > 1 AND x NOT IN ({_STOPS}))"
+_BSCORE = f"""btok AS (SELECT doc_id AS id, {_BWORDS} AS w FROM documents), bst AS (SELECT count(*)::DOUBLE AS n, greatest(avg(len(w)), 1) AS a FROM btok),
+bp AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM btok) GROUP BY ALL), bd AS (SELECT term, count(*) AS df FROM bp GROUP BY term),
+bq AS (SELECT item_id, unnest({_BWORDS}) AS term FROM benchmark),
+bs AS (SELECT item_id, bp.id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / a))) AS score
+  FROM bq JOIN bp USING (term) JOIN bd USING (term) JOIN btok ON btok.id = bp.id, bst GROUP BY item_id, bp.id)"""
+
 
-    log = X.table(spark, d, "documents").select((F.col("doc_id") % 500).alias("id"), F.col("doc_id").alias("clock"), "text")
-    return L.build_index(latest(log), "id", L.tokens(F.col("text"))).df
+def _benchmark(spark: SparkSession, d: str) -> DataFrame:
+    from lumenspar.work import work_path
 
+    index = L.store_index(L.build_index(X.table(spark, d, "documents"), "doc_id", L.benchmark_tokens(F.col("text"))), work_path(spark, "index"))
+    queries = X.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(L.benchmark_tokens(F.col("text"))).alias("term"))
+    return L.benchmark_scores(index, queries)
 
-@query("l18_benchmark_retrieval", f"""WITH {_IDX}, it AS (SELECT item_id, {_TOK} AS w FROM benchmark), qt AS (SELECT DISTINCT item_id, unnest(w) AS term FROM it),
-s AS (SELECT item_id, id, sum(ln((n + 1) / df) * (2.2 * tf / (1.2 * {_NORM} + tf) + 0.5)) AS score FROM qt JOIN post USING (term) JOIN df USING (term) JOIN len_ USING (id), st GROUP BY item_id, id),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, id) AS rank FROM s) SELECT item_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+
+@query("l18_benchmark_retrieval", f"""WITH {_BSCORE}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, id) AS rank FROM bs)
+SELECT item_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def l18_retrieval(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    index = _index(spark, d)
-    stats = L.corpus_stats(index).first()
-    terms = X.table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(L.tokens(F.col("text")))).alias("term"))
-    score = L.idf("bm25plus", F.lit(float(stats.n)), F.col("df")) * L.term_score("bm25plus", F.col("tf"), F.col("dl"), F.lit(float(stats.avgdl)), 1.2, 0.75, 0.5)
-    s = terms.join(index.postings, "term").join(index.df, "term").join(index.lengths, "id").groupBy("item_id", "id").agg(F.sum(score).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc(F.round("score", 6)), "id"))
-    return s.withColumn("rank", rank.cast("long")).where("rank <= 5").select("item_id", "id", F.round("score", 6).alias("score"), "rank")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "id"))
+    top = _benchmark(spark, d).withColumn("rank", rank.cast("long")).where("rank <= 5")
+    return top.select(F.col("query_id").alias("item_id"), "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("l18_directed_fusion", """WITH v AS (SELECT p_size AS query_id, p_partkey AS id, p_retailprice AS score, row_number() OVER (PARTITION BY p_size ORDER BY CASE WHEN p_size % 2 = 0 THEN p_retailprice ELSE -p_retailprice END, p_partkey) AS rank FROM part),
+t AS (SELECT p_size AS query_id, p_partkey AS id, length(p_name)::DOUBLE AS score FROM part WHERE p_partkey % 3 <> 0),
+nv AS (SELECT query_id, id, (score - min(score) OVER w) / greatest(max(score) OVER w - min(score) OVER w, 1e-9) AS s, p FROM (
+  SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) >= last_value(score) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS p FROM v) WINDOW w AS (PARTITION BY query_id)),
+nt AS (SELECT query_id, id, (score - min(score) OVER w) / greatest(max(score) OVER w - min(score) OVER w, 1e-9) AS s FROM t WINDOW w AS (PARTITION BY query_id))
+SELECT coalesce(nv.query_id, nt.query_id) AS query_id, coalesce(nv.id, nt.id) AS id, round(0.55 * coalesce(CASE WHEN p THEN nv.s ELSE 1 - nv.s END, 0) + 0.45 * coalesce(nt.s, 0), 6) AS score
+FROM nv FULL JOIN nt ON nv.query_id = nt.query_id AND nv.id = nt.id""")
+def l18_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of falling and of rising scores, told apart by their ends."""
+    from pyspark.sql import Window
+
+    part = X.table(spark, d, "part")
+    order = F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice")).otherwise(-F.col("p_retailprice"))
+    rank = F.row_number().over(Window.partitionBy("p_size").orderBy(order, "p_partkey"))
+    v = part.select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"), rank.alias("rank"))
+    t = part.where("p_partkey % 3 <> 0").select(F.col("p_size").alias("query_id"), F.col("p_partkey").alias("id"), F.length("p_name").cast("double").alias("score"))
+    return L.directed_fusion(v, t, 0.55).withColumn("score", F.round("score", 6))
 
 
 # --- text ingestion ---------------------------------------------------------------------

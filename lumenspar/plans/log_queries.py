@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenspar import streaming as Z
 from lumenspar.functions.quantize import bytes_per_vector
-from lumenspar.functions.vectors import norm
+from lumenspar.functions.vectors import norm, norm_sq
 from lumenspar.operators import accounting as A
 from lumenspar.operators import graph as G
 from lumenspar.operators import search as S
@@ -39,9 +39,21 @@ def g01(spark: SparkSession, d: str) -> DataFrame:
     return _long(_edges(spark, d), "rank").select("src", "dst", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query("g01_layers", "SELECT count(*) AS points FROM embeddings")
+_H = "('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT"
+_LAYERED = f"""{X.pts()}, lv AS (SELECT *, CASE WHEN {_H} = 0 THEN 15 ELSE least(15, bit_count(({_H} & -{_H}) - 1)) END AS level FROM pts),
+ld AS (SELECT layer, a.id AS src, b.id AS dst, {X.l2("a.v", "b.v")} AS distance FROM unnest(range(0, 3)) AS u(layer), lv a, lv b WHERE a.id <> b.id AND a.level >= layer AND b.level >= layer),
+le AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY layer, src ORDER BY round(distance, 9), dst) AS rank FROM ld) WHERE rank <= CASE WHEN layer = 0 THEN 8 ELSE 4 END)"""
+
+
+def _layered(spark: SparkSession, d: str) -> DataFrame:
+    from lumenspar.work import materialize
+
+    return materialize(G.layered_graph(X.points(spark, d), 4), "layers")
+
+
+@query("g01_layers", f"WITH {_LAYERED} SELECT layer, src, dst, round(distance, 6) AS distance, rank FROM le")
 def g01_layers(spark: SparkSession, d: str) -> DataFrame:
-    return X.points(spark, d).where(G.level(F.col("id")) >= 0).agg(F.count(F.lit(1)).alias("points"))
+    return _long(_layered(spark, d), "layer", "rank").withColumn("distance", F.round("distance", 6))
 
 
 @query("g02_g03_build")
@@ -64,10 +76,16 @@ def g06(spark: SparkSession, d: str) -> DataFrame:
     return _long(G.neighbors(_edges(spark, d), 7, 5, 2), "rank").withColumn("distance", F.round("distance", 6))
 
 
-@query("g07_concept_parents", f"WITH {_EDGES} SELECT 1::BIGINT AS layer, dst, round(distance, 6) AS distance FROM e WHERE src = 3")
+@query("g07_concept_parents", f"""WITH {_LAYERED}, up AS (SELECT DISTINCT src FROM le WHERE layer = 1)
+SELECT src, layer, dst, round(distance, 6) AS distance FROM le WHERE rank <= 3 AND ((layer = 1) OR (layer = 0 AND src NOT IN (SELECT src FROM up)))""")
 def g07(spark: SparkSession, d: str) -> DataFrame:
-    layered = _edges(spark, d).select(F.lit(1).cast("long").alias("layer"), "*")
-    return G.concept_parents(layered, 3).withColumn("distance", F.round("distance", 6))
+    """Parents of all points: one layer up, or on their own layer for those that end there."""
+    return _long(G.all_concept_parents(_layered(spark, d), 0, 3), "layer").withColumn("distance", F.round("distance", 6))
+
+
+query("g07_concept_parents_of", f"WITH {_LAYERED}, top_ AS (SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS l FROM le WHERE layer = 1 AND src = 3) SELECT layer, dst, round(distance, 6) AS distance FROM le, top_ WHERE src = 3 AND layer = l")(
+    lambda spark, d: _long(G.concept_parents(_layered(spark, d), 3), "layer").withColumn("distance", F.round("distance", 6))
+)
 
 
 _REACH = "WITH RECURSIVE {e}, r AS (SELECT {start}::BIGINT AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON src = id WHERE depth < {depth}) SELECT id, min(depth) AS depth FROM r GROUP BY id"
@@ -243,20 +261,24 @@ def io10(spark: SparkSession, d: str) -> DataFrame:
     return made.live().select("id", F.element_at("metadata", "label").alias("label"), F.element_at("metadata", "bucket").alias("bucket"))
 
 
-@query("io11_wal", "SELECT vec_id AS id, vec_id + 1 AS clock, label::VARCHAR AS label FROM embeddings WHERE vec_id < 50")
+@query("io11_wal", f"WITH {X.pts()} SELECT id, id + 1 AS clock, 'insert' AS op, label::VARCHAR AS label, round({X.n2('v')}, 6) AS length_sq FROM pts")
 def io11(spark: SparkSession, d: str) -> DataFrame:
-    rows = X.points(spark, d).where("id < 50").orderBy("id").collect()
-    data = b"".join(wal.encode(wal.Entry(r.id + 1, "insert", r.id, tuple(r.vector), {"label": str(r.label)})) for r in rows) + b"\xff\x01"
-    frame = spark.createDataFrame([(bytearray(data),)], "data binary")
+    """All points written as log segments by the tasks that hold them, and replayed from there."""
+    meta = F.create_map(F.lit("label"), F.col("label").cast("string"))
+    rows = X.points(spark, d).select((F.col("id") + 1).alias("clock"), F.lit("insert").alias("op"), "id", "vector", meta.alias("metadata"))
+    back = wal.read(spark, wal.write_segments(rows, work_path(spark, "wal")))
+    return back.select("id", "clock", "op", F.element_at("metadata", "label").alias("label"), F.round(norm_sq(F.col("vector")), 6).alias("length_sq"))
+
 
-    def entries(batches):
-        import pandas as pd
+query("io06_upsert_in_a_batch", "SELECT user_id AS id, max(event_id) AS last FROM events GROUP BY user_id")(lambda spark, d: _batch_upserts(spark, d))
 
-        for b in batches:
-            for x in b["data"]:
-                yield pd.DataFrame([(e.id, e.clock, e.metadata["label"]) for e in wal.replay(bytes(x))], columns=["id", "clock", "label"])
 
-    return frame.mapInPandas(entries, "id long, clock long, label string")
+def _batch_upserts(spark: SparkSession, d: str) -> DataFrame:
+    """One insert with many rows an id, in order of events: the last row of each id stands."""
+    made = C.Catalog(spark, work_path(spark, "catalog")).create(CollectionSpec("events", (Component("all", "l2", 1),)))
+    rows = X.table(spark, d, "events").orderBy("event_id")
+    made.insert(rows.select(F.col("user_id").alias("id"), F.array(F.lit(0.0)).alias("vector"), F.create_map(F.lit("event"), F.col("event_id").cast("string")).alias("metadata")))
+    return made.live().select("id", F.element_at("metadata", "event").cast("long").alias("last"))
 
 
 @query("io13_snapshot", "SELECT vec_id AS id FROM embeddings")
@@ -422,13 +444,13 @@ query("a06_esg_report", "SELECT count(*) AS records, round(sum(value), 4) AS wh,
 )
 
 
-@query("m19_retrieval_quality", f"""WITH {X.pts()}, q AS (SELECT id AS query_id, v AS q, label AS ql FROM pts WHERE id % 50 = 0), dd AS (SELECT query_id, id, ql = label AS rel, {X.l2("v", "q")} AS x FROM pts, q WHERE id <> query_id),
+@query("m19_retrieval_quality", f"""WITH {X.pts()}, q AS (SELECT id AS query_id, v AS q, label AS ql FROM pts WHERE id % 20 = 0), dd AS (SELECT query_id, id, ql = label AS rel, {X.l2("v", "q")} AS x FROM pts, q WHERE id <> query_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9), id) AS rank FROM dd), w AS (SELECT query_id, count(*) FILTER (rel) AS n, count(*) FILTER (rel AND rank <= 10) AS f, min(rank) FILTER (rel AND rank <= 10) AS first,
 coalesce(sum(1 / log2(rank + 1)) FILTER (rel AND rank <= 10), 0) AS dcg FROM r GROUP BY query_id)
 SELECT round(avg(f / n), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda r: 1 / log2(r + 1)))), 6) AS ndcg, count(*) AS queries FROM w""")
 def m19(spark: SparkSession, d: str) -> DataFrame:
     p = X.points(spark, d)
-    q = p.where("id % 50 = 0")
+    q = p.where("id % 20 = 0")
     ranked = S.batch_search(p, q, 10, exclude_self=True)
     relevant = q.select(F.col("id").alias("query_id"), "label").join(p.select("id", "label"), "label").where("id <> query_id").select("query_id", "id")
     return A.retrieval_quality(ranked, relevant, 10).select(*[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")], "queries")

@@ -204,6 +204,16 @@ def e02_refined(spark: SparkSession, d: str) -> DataFrame:
     return X.points(spark, d).select("id", Q.scalar_refined(V()).alias("codes"))
 
 
+_LONG = "list_concat(list_concat(v, v), v)"
+
+
+@query("e02_long_vectors", f"WITH {X.pts()} SELECT id, array_to_string(list_transform({_LONG}, lambda x: CAST(greatest(least(sign(x) * floor(abs(x * 127) + 0.5), 127), -127) AS INTEGER)), ',') AS codes FROM pts")
+def e02_long(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of more than 128 coordinates get plain codes."""
+    codes = Q.scalar_refined(F.concat(V(), V(), V()))
+    return X.points(spark, d).select("id", F.array_join(F.transform(codes, lambda c: c.cast("int")), ",").alias("codes"))
+
+
 @query("e03_lorentz_codes", f"""WITH {X.pts("lorentz")}, a AS (SELECT id, v, {_ALPHA} AS alpha FROM pts)
 SELECT id, round(alpha, 6) AS alpha, list_sum(list_transform(v, lambda x: least(greatest(round(x / alpha * 127), -127), 127)::BIGINT))::BIGINT AS total FROM a""")
 def e03_lorentz_codes(spark: SparkSession, d: str) -> DataFrame:
@@ -257,7 +267,7 @@ def s02_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _batch_sql(kind: str, k: int, exclude: bool = False) -> str:
-    return f"""WITH {X.pts(kind)}, q AS (SELECT id AS query_id, v AS q FROM pts WHERE id % 50 = 0),
+    return f"""WITH {X.pts(kind)}, q AS (SELECT id AS query_id, v AS q FROM pts WHERE id % 20 = 0),
 d AS (SELECT query_id, id, {X.DISTANCE[kind]("v", "q")} AS d FROM pts, q {"WHERE id <> query_id" if exclude else ""}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) AS rank FROM d)
 SELECT query_id, id, round(d, 6) AS distance, rank FROM r WHERE rank <= {k}"""
@@ -266,7 +276,7 @@ SELECT query_id, id, round(d, 6) AS distance, rank FROM r WHERE rank <= {k}"""
 def _batch(kind: str, k: int, exclude: bool = False):
     def run(spark: SparkSession, d: str) -> DataFrame:
         p = X.points(spark, d, kind)
-        return S.batch_search(p, p.where("id % 50 = 0"), k, kind, exclude).select("query_id", "id", (F.round("distance", 6)).alias("distance"), F.col("rank").cast("long").alias("rank"))
+        return S.batch_search(p, p.where("id % 20 = 0"), k, kind, exclude).select("query_id", "id", (F.round("distance", 6)).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
     return run
 

@@ -1,8 +1,13 @@
 """Collections as Parquet logs in a folder: ingestion, upserts, deletes, snapshots, scans.
 
-A collection is an append-only log of rows (clock, op, id, vector, metadata, payload);
-what is live is the last row of each id that is not a delete. Payloads lie in files of
-their own and are joined after a limit.
+A collection is an append-only log of rows (clock, seq, op, id, vector, metadata); what is
+live is the last row of each id that is not a delete. A batch shares a clock, and its rows
+have their places in it as ``seq``, so of several rows of an id the last holds. Payloads
+lie in files of their own and are joined after a limit.
+
+The log lies in numbered folders; the one of the largest number that is complete is the
+log. A rewrite writes the next one and only then removes the old, so a crash leaves one
+or the other. One writer at a time is assumed.
 """
 
 from __future__ import annotations
@@ -18,7 +23,8 @@ from lumenspar.operators.accounting import latest
 from lumenspar.spec import CollectionSpec
 from lumenspar.work import remove
 
-LOG = "clock long, op string, id long, vector array<double>, metadata map<string,string>"
+LOG = "clock long, seq long, op string, id long, vector array<double>, metadata map<string,string>"
+PAYLOADS = "clock long, seq long, id long, payload binary"
 
 
 class Catalog:
@@ -39,8 +45,8 @@ class Catalog:
         if self.exists(spec.name):
             raise ValueError(f"collection {spec.name} exists")
         self.spark.createDataFrame([(spec.to_json(),)], "value string").coalesce(1).write.text(f"{self.root}/{spec.name}/meta")
-        self.spark.createDataFrame([], LOG).write.parquet(f"{self.root}/{spec.name}/log")
-        self.spark.createDataFrame([], "clock long, id long, payload binary").write.parquet(f"{self.root}/{spec.name}/payloads")
+        self.spark.createDataFrame([], LOG).write.parquet(f"{self.root}/{spec.name}/log-0")
+        self.spark.createDataFrame([], PAYLOADS).write.parquet(f"{self.root}/{spec.name}/payloads")
         return self.get(spec.name)
 
     def get(self, name: str) -> Collection:
@@ -65,21 +71,30 @@ class Collection:
         self.spark, self.path, self.spec = spark, path, spec
         self._frozen: DataFrame | None = None
 
+    def _version(self) -> int:
+        """The largest number of a complete log folder."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        path = hadoop.Path(self.path)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return max(int(n[4:]) for n in names if n.startswith("log-") and fs.exists(hadoop.Path(f"{self.path}/{n}/_SUCCESS")))
+
     def log(self) -> DataFrame:
-        return self.spark.read.schema(LOG).parquet(f"{self.path}/log")
+        return self.spark.read.schema(LOG).parquet(f"{self.path}/log-{self._version()}")
 
     def clock(self) -> int:
         """The largest clock so far; 0 for an empty log."""
         return self.log().agg(F.max("clock").alias("c")).first().c or 0
 
     def insert(self, rows: DataFrame, strict: bool = True) -> int:
-        """Appends rows(id, vector, metadata[, payload]); the batch shares one tick of the clock.
+        """Appends rows(id, vector, metadata[, payload]); the batch shares one tick of the clock, the last row of an id holds.
 
         Longer vectors are cut, shorter or invalid ones an error (or left out).
         """
         dim, tick = self.spec.dimension, self.clock() + 1
         vector = F.slice(F.col("vector").cast("array<double>"), 1, dim)
         vector = normalize(vector) if self.spec.metric == "cosine" else vector
+        rows = rows.withColumn("seq", F.monotonically_increasing_id())
         ready = rows.withColumn("vector", vector)
         good = (F.size("vector") == dim) & valid(F.col("vector"), self.spec.metric)
         if strict:
@@ -88,22 +103,26 @@ class Collection:
         else:
             ready = ready.where(good)
         meta = F.col("metadata") if "metadata" in rows.columns else F.expr("cast(map() as map<string,string>)")
-        ready.select(F.lit(tick).cast("long").alias("clock"), F.lit("insert").alias("op"), F.col("id").cast("long"), "vector", meta.alias("metadata")).write.mode("append").parquet(f"{self.path}/log")
+        self._append(ready.select(F.lit(tick).cast("long").alias("clock"), "seq", F.lit("insert").alias("op"), F.col("id").cast("long"), "vector", meta.alias("metadata")))
         if "payload" in rows.columns:
-            stored = rows.where(F.col("payload").isNotNull()).select(F.lit(tick).cast("long").alias("clock"), F.col("id").cast("long"), F.col("payload").cast("binary"))
+            stored = rows.where(F.col("payload").isNotNull()).select(F.lit(tick).cast("long").alias("clock"), "seq", F.col("id").cast("long"), F.col("payload").cast("binary"))
             stored.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/payloads")
         return tick
 
+    def _append(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(f"{self.path}/log-{self._version()}")
+
     def delete(self, ids: DataFrame) -> int:
         tick = self.clock() + 1
-        ids.select(F.lit(tick).cast("long").alias("clock"), F.lit("delete").alias("op"), F.col("id").cast("long"), F.expr("cast(null as array<double>)").alias("vector"), F.expr("cast(null as map<string,string>)").alias("metadata")).write.mode("append").parquet(f"{self.path}/log")
+        none = [F.expr(f"cast(null as {kind})").alias(name) for name, kind in (("vector", "array<double>"), ("metadata", "map<string,string>"))]
+        self._append(ids.select(F.lit(tick).cast("long").alias("clock"), F.lit(0).cast("long").alias("seq"), F.lit("delete").alias("op"), F.col("id").cast("long"), *none))
         return tick
 
     def live(self) -> DataFrame:
         """The points as they stand: last write wins, deleted ids are gone."""
         if self._frozen is not None:
             return self._frozen
-        return latest(self.log()).where("op = 'insert'").select("id", "vector", "metadata", "clock")
+        return latest(self.log(), "id", "clock", "seq").where("op = 'insert'").select("id", "vector", "metadata", "clock")
 
     def freeze(self) -> None:
         """Keeps the live points in executor memory until ``unfreeze``."""
@@ -124,7 +143,7 @@ class Collection:
         return self.insert(merged)
 
     def payloads(self, ids: DataFrame | None = None) -> DataFrame:
-        rows = latest(self.spark.read.schema("clock long, id long, payload binary").parquet(f"{self.path}/payloads"))
+        rows = latest(self.spark.read.schema(PAYLOADS).parquet(f"{self.path}/payloads"), "id", "clock", "seq")
         out = rows.join(self.live().select("id"), "id", "left_semi").select("id", "payload")
         return out if ids is None else out.join(ids.select("id"), "id", "left_semi")
 
@@ -144,11 +163,12 @@ class Collection:
 
     def vacuum(self, predicate: Column | None = None) -> None:
         """Rewrites the log as the live points less those that match; an index is to be rebuilt after it."""
+        old = self._version()
         keep = self.live() if predicate is None else self.live().where(~predicate)
-        keep.select("clock", F.lit("insert").alias("op"), "id", "vector", "metadata").write.mode("overwrite").parquet(f"{self.path}/log.next")
-        remove(self.spark, f"{self.path}/log")
-        fs = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log.next")
-        fs.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fs, self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log"))
+        ready = keep.select("clock", F.lit(0).cast("long").alias("seq"), F.lit("insert").alias("op"), "id", "vector", "metadata")
+        # the new folder counts once it is complete
+        ready.write.mode("overwrite").parquet(f"{self.path}/log-{old + 1}")
+        remove(self.spark, f"{self.path}/log-{old}")
 
     def flush(self, chunks: int) -> DataFrame:
         """Live points written by chunk of ids; returns (chunk, centroid, n) for routing."""

@@ -7,11 +7,15 @@ Replay ends at the first frame that is cut short or fails its checksum.
 
 from __future__ import annotations
 
+import io
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -38,11 +42,17 @@ def encode(e: Entry) -> bytes:
 
 
 def replay(data: bytes) -> Iterator[Entry]:
-    at = 0
-    while at + 9 <= len(data):
-        mark, size, crc = struct.unpack_from("<BII", data, at)
-        body = data[at + 9 : at + 9 + size]
-        if mark != 0xFF or len(body) != size or zlib.crc32(body) != crc:
+    return replay_stream(io.BytesIO(data).read)
+
+
+def replay_stream(read: Callable[[int], bytes]) -> Iterator[Entry]:
+    """Entries of a stream, frame by frame; ``read(n)`` gives n bytes, or fewer at the end."""
+    while len(head := read(9)) == 9:
+        mark, size, crc = struct.unpack("<BII", head)
+        if mark != 0xFF:
+            return
+        body = read(size)
+        if len(body) != size or zlib.crc32(body) != crc:
             return
         opcode, id_, clock, n = struct.unpack_from("<BIQI", body, 0)
         p = 17
@@ -56,7 +66,6 @@ def replay(data: bytes) -> Iterator[Entry]:
             strings.append(body[p + 4 : p + 4 + length].decode())
             p += 4 + length
         yield Entry(clock, "insert" if opcode == INSERT else "delete", id_, vector, dict(zip(strings[::2], strings[1::2], strict=True)))
-        at += 9 + size
 
 
 class _Reader(DataSourceReader):
@@ -71,7 +80,7 @@ class _Reader(DataSourceReader):
 
         fs, path = FileSystem.from_uri(partition.value)
         with fs.open_input_stream(path) as stream:
-            for e in replay(stream.read()):
+            for e in replay_stream(stream.read):
                 yield e.clock, e.op, e.id, list(e.vector), e.metadata
 
 
@@ -87,3 +96,33 @@ class WalSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader([p for p in self.options["paths"].split(",") if p])
+
+
+def write_segments(rows: DataFrame, folder: str) -> list[str]:
+    """Writes rows(clock, op, id, vector, metadata) as one segment a task; the URIs of the segments.
+
+    A task that runs again writes a file of another name, and only the names that
+    successful tasks report are segments of the log.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        fs, path = FileSystem.from_uri(folder)
+        fs.create_dir(path, recursive=True)
+        name, n = f"{uuid.uuid4().hex}.wal", 0
+        with fs.open_output_stream(f"{path}/{name}") as out:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    out.write(encode(Entry(r["clock"], r["op"], r["id"], tuple(r["vector"] or ()), dict(r["metadata"] or ()))))
+                    n += 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["uri"])
+
+    return sorted(r.uri for r in rows.select("clock", "op", "id", "vector", "metadata").mapInArrow(run, "uri string").collect())
+
+
+def read(spark: SparkSession, segments: list[str]) -> DataFrame:
+    """The entries of some segments, each read by one task."""
+    spark.dataSource.register(WalSource)
+    return spark.read.format("lumenspar_wal").option("paths", ",".join(segments)).load()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspar.operators.accounting import latest
+from lumenspar.work import remove
 
 
 def read_log(spark: SparkSession, path: str, schema: str, batch_files: int = 16) -> DataFrame:
@@ -57,6 +58,9 @@ def merge_into(path: str, key: str = "id") -> Callable[[DataFrame, int], None]:
         if epoch:
             new = new.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v={epoch - 1}"))
         latest(new, key).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        if epoch > 1:
+            # a batch that is delivered again needs the version before it, not the one before that
+            remove(spark, f"{path}/v={epoch - 2}")
 
     return run
 

@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -160,3 +162,73 @@ def test_line_tree_is_hyperbolic(spark):
 def test_stems_and_stopwords():
     assert [_porter(w) for w in ("caresses", "ponies", "hopping", "relational", "rate", "adjustment", "controlling")] == ["caress", "poni", "hop", "relat", "rate", "adjust", "control"]
     assert "the" in stopwords("EN") and "und" in stopwords("german") and stopwords("xx") == []
+
+
+def test_refined_codes_are_one_greedy_pass():
+    rng = np.random.default_rng(1)
+    for n in (1, 3, 64, 128):
+        v = rng.normal(size=n)
+        v /= max(1.0, np.abs(v).max())
+        codes = [int(math.copysign(math.floor(abs(x * 127) + 0.5), x)) for x in v]
+
+        def loss(c):
+            e = np.array(c) / 127 - v
+            along = (e @ v) ** 2 / (v @ v)
+            return along + 10 * (e @ e - along)
+
+        for i in range(n):
+            options = [codes[:i] + [codes[i] + s] + codes[i + 1 :] for s in (0, -1, 1) if abs(codes[i] + s) <= 127]
+            codes = min(options, key=lambda c: round(loss(c), 13))
+        assert Q.refine(v).tolist() == codes
+    long = rng.uniform(-1, 1, 129)
+    assert Q.refine(long).tolist() == [int(math.copysign(math.floor(abs(x * 127) + 0.5), x)) for x in long]
+
+
+def test_smallest_breaks_ties_by_id():
+    d = np.array([[3.0, 1.0, 1.0, 2.0, 1.0], [np.nan, 5.0, 5.0, 5.0, 0.0]])
+    ids = np.array([[1, 9, 4, 2, 7], [1, 3, 2, 8, 5]])
+    assert S.smallest(d, ids, 2)[1].tolist() == [[4, 7], [5, 2]]
+    assert S.smallest(d, ids, 9)[1].shape == (2, 5)
+
+
+def test_blocks_of_queries_and_points_meet(spark, monkeypatch):
+    points = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    key = lambda df: sorted((r.query_id, r.id, r["rank"]) for r in df.collect())
+    whole = key(S.batch_search(points, points, 3, "cosine", exclude_self=True))
+    monkeypatch.setattr(S, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(S, "POINT_BLOCK", 30)
+    assert key(S.batch_search(points, points, 3, "cosine", exclude_self=True)) == whole
+    assert key(S.batch_search(points.limit(0), points, 3)) == [] == key(S.batch_search(points, points.limit(0), 3))
+
+
+def test_a_rewrite_leaves_one_log_whenever_it_stops(spark):
+    flat = C.Catalog(spark, work_path(spark, "catalog")).create(CollectionSpec("flat", (Component("v", "l2", 1),)))
+    rows = spark.createDataFrame([(1, [1.0], {"a": "x"}), (2, [2.0], {"a": "y"}), (1, [3.0], {"a": "z"})], "id long, vector array<double>, metadata map<string,string>")
+    flat.insert(rows.coalesce(1))
+    live = lambda: sorted((r.id, r.vector[0], r.metadata["a"]) for r in flat.live().collect())
+    assert live() == [(1, 3.0, "z"), (2, 2.0, "y")]
+    # a rewrite that did not come to its end counts for nothing
+    rows.limit(0).write.parquet(f"{flat.path}/log-1")
+    from lumenspar.work import remove
+
+    remove(spark, f"{flat.path}/log-1/_SUCCESS")
+    assert live() == [(1, 3.0, "z"), (2, 2.0, "y")]
+    flat.vacuum(F.col("id") == 2)
+    assert live() == [(1, 3.0, "z")] and flat.log().count() == 1
+    flat.insert(rows.where("id = 2"))
+    assert live() == [(1, 3.0, "z"), (2, 2.0, "y")]
+
+
+def test_digests_of_negative_ids(spark):
+    points = spark.createDataFrame([(-1, [0.5]), (255, [0.5]), (3, [1.0, 2.0])], "id long, vector array<double>")
+    found = {r.bucket: r.n for r in G.digest(points).collect()}
+    assert found == {255: 2, 3: 1}
+    assert {r.id for r in G.sync_pull(points, [255]).collect()} == {-1, 255}
+
+    def fnv(i, v):
+        h = 14695981039346656037
+        for byte in (i & 0xFFFFFFFF).to_bytes(4, "little") + np.asarray(v, "<f8").tobytes():
+            h = (h ^ byte) * 1099511628211 % 2**64
+        return h - 2**64 if h >= 2**63 else h
+
+    assert {r.id: r.h for r in points.select("id", G.point_hash("id", "vector").alias("h")).collect()} == {i: fnv(i, v) for i, v in ((-1, [0.5]), (255, [0.5]), (3, [1.0, 2.0]))}
