@@ -2,8 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that its predecessor
 kept. A document is known by its id and text together, so ids that are null or repeat
-do not lead a stage astray; rows that repeat both are one document and share its fate.
-All stages but the last return the columns of documents.
+do not lead a stage astray; rows that repeat both are one document, share its fate, and
+near-dedup leaves one of them. All stages but the last return the columns of documents,
+whatever further ones there are. A null or empty text is a document like any other: the
+classifier judges its shape, it has no lines, is nobody's near duplicate, holds no test
+item and packs as the end token alone. Without documents every stage gives none; without
+labels, or with none of both kinds, the classifier keeps all; without a benchmark all
+documents are clean.
 """
 
 from __future__ import annotations
@@ -27,12 +32,13 @@ def _key() -> Column:
     return F.struct("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", F.lit(7), "doc_id").alias("k2"))
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents less the rejected ones, given by key."""
-    gone = rejected.select(F.col("doc_id.k1").alias("_k1"), F.col("doc_id.k2").alias("_k2")).distinct()
-    keyed = docs.withColumn(KEY, _key())
-    left = keyed.join(gone, (F.col(f"{KEY}.k1") == F.col("_k1")) & (F.col(f"{KEY}.k2") == F.col("_k2")), "left_anti")
-    return left.select(*docs.columns)
+def _without(docs: DataFrame, rejected: DataFrame, once: bool = False) -> DataFrame:
+    """The documents less the rejected ones, given by key; ``once``: one row of each document."""
+    gone = rejected.select(F.col("doc_id.k1").alias("k1"), F.col("doc_id.k2").alias("k2")).distinct()
+    # wrapped up, whatever the columns are called
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key().alias("key"))
+    left = keyed.join(gone, (keyed.key.k1 == gone.k1) & (keyed.key.k2 == gone.k2), "left_anti")
+    return (left.dropDuplicates(["key"]) if once else left).select("row.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +58,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, five words a shingle and 0.8 alike, one document stays."""
     judged = near_duplicates(docs.select(_key().alias("doc_id"), "text"))
-    return _without(docs, judged.where(~F.col("kept")))
+    return _without(docs, judged.where(~F.col("kept")), once=True)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,36 @@ def test_stages(spark):
     assert packed == set(kept[4])
 
 
+def test_edges_of_all_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = materialize(docs.orderBy("doc_id").limit(60))
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (7, "another text of an id that is taken", "en", "s", 1)], docs.schema)
+    extra = {c: F.lit(1) for c in ("k1", "_k1", "host", "path", "label", "node", "low", "n_lines", "place", "kept", "sequence_id")}
+    more = materialize(some.unionByName(some).unionByName(odd).unionByName(odd).withColumns(extra))
+    rows = lambda df: sorted(map(str, df.collect()))
+    plain, many = some.unionByName(odd), more
+    for name, stage in P.STAGES[:-1]:
+        plain, many = materialize(stage(spark, plain, SF)), materialize(stage(spark, many, SF))
+        assert many.columns == more.columns
+        if name == "line_dedup":
+            assert many.where("doc_id is null").count() > 0
+    # one row of each document is left
+    assert many.select("doc_id", "text").distinct().count() == many.count()
+    assert P.packing(spark, many, SF).select("doc_id").distinct().count() == many.select("doc_id").distinct().count()
+    empty = docs.limit(0)
+    for _, stage in P.STAGES:
+        empty = stage(spark, empty, SF) if empty.columns == docs.columns else empty
+        assert rows(empty) == []
+
+
+def test_classifier_stage_keeps_what_the_operator_keeps(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    from lumenspar.llm.quality_classifier import classify
+
+    kept = {r.doc_id for r in P.quality_classifier(spark, docs, SF).collect()}
+    assert kept == {r.doc_id for r in classify(docs, labels).collect() if r.kept} and kept
+
+
 def test_repeated_ids_are_told_apart(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     same = docs.withColumn("doc_id", F.lit(7).cast("long"))
