@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from lumenspar.components import connected_components
 from lumenspar.functions.distance import METRICS
 from lumenspar.functions.vectors import norm_sq
-from lumenspar.operators.search import _distances, batch_search
+from lumenspar.operators.search import batch_search, distances
 from lumenspar.work import materialize
 
 EDGE_TYPE = {"lorentz": "HIERARCHY", "l2": "SIMILARITY", "euclidean": "SIMILARITY", "cosine": "SIMILARITY"}
@@ -43,7 +44,7 @@ def layered_graph(points: DataFrame, m: int = 16, metric: str = "l2", layers: in
 
 
 def _diverse(m: int, metric: str, alpha: float, density: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    measure = _distances(metric)
+    measure = distances(metric)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["distance", "dst"])
@@ -211,6 +212,26 @@ def wave_from(points: DataFrame, edges: DataFrame, query: Sequence[float], k: in
     return wave_search(search(points, query, n, metric).select("id", "distance"), edges, k, **params)
 
 
+def consensus_wave(points: DataFrame, edges: DataFrame, query: Sequence[float], k: int, metric: str = "l2", seeds: int = 5) -> DataFrame:
+    """(id, score, distance): diffusive traverses from the nearest points, ranks weighed by the seeds.
+
+    A traverse gives 3k points; a point's score is the sum over the seeds that reach it of
+    the seed's weight over one plus the rank there, from nought.
+    """
+    from lumenspar.operators.search import search
+
+    near = search(points, query, seeds, metric).select("id", "distance").collect()
+    total = None
+    for seed in near:
+        start = points.sparkSession.createDataFrame([(seed.id, 0.0)], "id long, distance double")
+        reached = wave_search(start, edges, 3 * k)
+        rank = F.row_number().over(Window.orderBy(F.desc(F.round("energy", 12)), "id"))  # 3k rows
+        scored = reached.select("id", (F.lit(1 / (1 + seed.distance)) / rank).alias("s"))
+        total = scored if total is None else total.unionByName(scored)
+    out = total.groupBy("id").agg(F.sum("s").alias("score")).select("id", "score", (1 / F.col("score") - 1).alias("distance"))
+    return out.orderBy(F.desc(F.round("score", 12)), "id").limit(k)
+
+
 def _fnv(ids: pd.Series, vectors: pd.Series) -> pd.Series:
     """FNV-1a over the id's low 32 bits and the vector's bytes; all rows of one length at a time."""
     out = np.zeros(len(ids), np.int64)
@@ -260,14 +281,48 @@ def sync_push(points: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFr
     return new, report
 
 
+def _pair(left: bytes, right: bytes) -> bytes:
+    return hashlib.sha256(left + right).digest()
+
+
+def merkle_levels(leaves: DataFrame) -> tuple[list[int], list[list[bytes]]]:
+    """Ids and levels, from the leaves to the root, of a SHA-256 tree over leaves(id, h); for result sets, which are short.
+
+    A node without a partner is paired with itself.
+    """
+    rows = leaves.orderBy("id").select("id", "h").collect()
+    levels = [[bytes.fromhex(r.h) for r in rows]]
+    while len(levels[-1]) > 1:
+        last = levels[-1]
+        levels.append([_pair(last[i], last[min(i + 1, len(last) - 1)]) for i in range(0, len(last), 2)])
+    return [r.id for r in rows], levels
+
+
 def merkle_root(leaves: DataFrame) -> str:
-    """Root of a SHA-256 tree over leaves(id, h); for result sets, which are short."""
-    import hashlib
+    _, levels = merkle_levels(leaves)
+    return levels[-1][0].hex() if levels[-1] else hashlib.sha256(b"").hexdigest()
+
+
+def inclusion_proofs(leaves: DataFrame) -> dict[int, list[tuple[str, bool]]]:
+    """For each id, the partners from its leaf to the root, and whether the partner is on the left."""
+    ids, levels = merkle_levels(leaves)
+    out = {}
+    for at, i in enumerate(ids):
+        proof = []
+        for level_ in levels[:-1]:
+            partner = at ^ 1
+            proof.append((level_[partner if partner < len(level_) else at].hex(), at % 2 == 1))
+            at //= 2
+        out[i] = proof
+    return out
+
 
-    level_ = [bytes.fromhex(r.h) for r in leaves.orderBy("id").select("h").collect()]
-    while len(level_) > 1:
-        level_ = [hashlib.sha256(level_[i] + (level_[i + 1] if i + 1 < len(level_) else level_[i])).digest() for i in range(0, len(level_), 2)]
-    return level_[0].hex() if level_ else hashlib.sha256(b"").hexdigest()
+def proven(leaf: str, proof: Sequence[tuple[str, bool]], root_: str) -> bool:
+    """Whether a leaf with its proof leads to the root."""
+    h = bytes.fromhex(leaf)
+    for partner, left in proof:
+        h = _pair(bytes.fromhex(partner), h) if left else _pair(h, bytes.fromhex(partner))
+    return h.hex() == root_
 
 
 def hyperbolicity(points: DataFrame, samples: int = 1000, seed: int = 7) -> tuple[float, str]:

@@ -23,7 +23,7 @@ def search(points: DataFrame, query: Sequence[float], k: int, metric: str = "l2"
     return rows.withColumn("distance", METRICS[metric](F.col("vector"), vec(query))).orderBy("distance", "id").limit(k)
 
 
-def _distances(metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+def distances(metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """Distances of all queries (rows) to all points (columns) of a batch."""
 
     def l2(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -67,7 +67,7 @@ class _Top:
     """The best k points of some queries so far."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, metric: str):
-        self.ids, self.vectors, self.k, self.measure = ids, vectors, k, _distances(metric)
+        self.ids, self.vectors, self.k, self.measure = ids, vectors, k, distances(metric)
         self.d, self.i = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
@@ -81,10 +81,11 @@ class _Top:
         return [pa.array(np.repeat(self.ids, width)), pa.array(self.i.ravel()), pa.array(self.d.ravel())]
 
 
-_FOUND, _FOUND_NAMES = "query_id long, id long, distance double", ["query_id", "id", "distance"]
+FOUND, FOUND_NAMES = "query_id long, id long, distance double", ["query_id", "id", "distance"]
 
 
-def _rows(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def rows_of(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors, as one matrix, of a batch that is not empty."""
     vectors = batch.column("vector")
     vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
@@ -96,19 +97,21 @@ def _scan(ids: np.ndarray, vectors: np.ndarray, k: int, metric: str) -> Callable
         top = _Top(ids, vectors, k, metric)
         for batch in batches:
             if batch.num_rows:
-                top.add(*_rows(batch))
-        yield pa.RecordBatch.from_arrays(top.columns(), names=_FOUND_NAMES)
+                top.add(*rows_of(batch))
+        yield pa.RecordBatch.from_arrays(top.columns(), names=FOUND_NAMES)
 
     return run
 
 
-def _meet(k: int, metric: str) -> Callable:
+def meet(k: int, metric: str) -> Callable:
+    """The k nearest points of a block for the queries of a block."""
+
     def run(queries: pa.Table, points: pa.Table) -> pa.Table:
         if not queries.num_rows or not points.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=_FOUND_NAMES)
-        top = _Top(*_rows(queries), k, metric)
-        top.add(*_rows(points))
-        return pa.table(top.columns(), names=_FOUND_NAMES)
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=FOUND_NAMES)
+        top = _Top(*rows_of(queries), k, metric)
+        top.add(*rows_of(points))
+        return pa.table(top.columns(), names=FOUND_NAMES)
 
     return run
 
@@ -128,13 +131,13 @@ def batch_search(points: DataFrame, queries: DataFrame, k: int, metric: str = "l
     if n <= QUERY_BLOCK:
         rows = queries.collect()
         ids, vectors = np.array([r.id for r in rows], np.int64), np.array([r.vector for r in rows], float)
-        found = points.mapInArrow(_scan(ids, vectors, some, metric), _FOUND) if rows else points.sparkSession.createDataFrame([], _FOUND)
+        found = points.mapInArrow(_scan(ids, vectors, some, metric), FOUND) if rows else points.sparkSession.createDataFrame([], FOUND)
     else:
         over, down = -(-n // QUERY_BLOCK), max(1, -(-points.count() // POINT_BLOCK))
         each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
         q = queries.select("*", F.pmod(F.xxhash64("id"), F.lit(over)).cast("int").alias("i"), each(down).alias("j"))
         p = points.select("*", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(down)).cast("int").alias("j"), each(over).alias("i"))
-        found = q.groupBy("i", "j").cogroup(p.groupBy("i", "j")).applyInArrow(_meet(some, metric), _FOUND)
+        found = q.groupBy("i", "j").cogroup(p.groupBy("i", "j")).applyInArrow(meet(some, metric), FOUND)
     if exclude_self:
         found = found.where("query_id <> id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id"))

@@ -162,6 +162,15 @@ def _bm25_sql(method: str, name: str = "bm") -> str:
     return f"{_IDX}, {name} AS (SELECT id, sum({_IDF[method]} * ({_TFC[method]})) AS score FROM post JOIN df USING (term) JOIN len_ USING (id), st WHERE term IN ({_IN}) GROUP BY id)"
 
 
+def keyword_sql() -> str:
+    """CTEs that end in bm(id, score)."""
+    return _bm25_sql("bm25plus")
+
+
+def keyword_hits(spark: SparkSession, d: str) -> DataFrame:
+    return L.bm25(_index(spark, d), TERMS)
+
+
 for _method in L.METHODS:
     query(f"l08_l10_{_method}", f"WITH {_bm25_sql(_method)} SELECT id, round(score, 6) AS score FROM bm")(
         lambda spark, d, m=_method: L.bm25(_index(spark, d), TERMS + TERMS[:2], L.LexicalConfig(method=m)).select("id", F.round("score", 6).alias("score"))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from lumenspar import streaming as Z
 from lumenspar.functions.quantize import bytes_per_vector
-from lumenspar.functions.vectors import norm, norm_sq
+from lumenspar.functions.vectors import norm, norm_sq, scale
 from lumenspar.operators import accounting as A
 from lumenspar.operators import graph as G
 from lumenspar.operators import search as S
 from lumenspar.plans import fixtures as X
+from lumenspar.plans import lexical_queries as LX
 from lumenspar.plans.registry import query
 from lumenspar.sources import collections as C
 from lumenspar.sources import wal
@@ -158,6 +159,18 @@ def g18(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(G.merkle_root(leaves),)], "root string")
 
 
+@query("g18_inclusion_proofs", X.top("l2", 11).replace("SELECT id, round(distance, 6) AS distance FROM d", "SELECT id, true AS proven, false AS forged, 4::BIGINT AS steps FROM d"))
+def g18_proofs(spark: SparkSession, d: str) -> DataFrame:
+    """Each hit's proof leads to the root; with another hit's leaf it does not."""
+    hits = S.search(X.points(spark, d), X.vector(spark, d), 11)
+    leaves = hits.select("id", F.sha2(F.concat_ws("|", "id", F.round("distance", 6).cast("string")), 256).alias("h"))
+    root, proofs = G.merkle_root(leaves), G.inclusion_proofs(leaves)
+    of = {r.id: r.h for r in leaves.collect()}
+    other = dict(zip(of, [*list(of)[1:], next(iter(of))], strict=True))
+    rows = [(i, G.proven(of[i], p, root), G.proven(of[other[i]], p, root), len(p)) for i, p in proofs.items()]
+    return spark.createDataFrame(rows, "id long, proven boolean, forged boolean, steps long")
+
+
 _WSTEP = """k{n} AS (SELECT dst AS id, sum(e * w) AS e FROM ke JOIN w{p} ON src = w{p}.id GROUP BY dst), a{n} AS (SELECT id, sum(e) AS e FROM (SELECT * FROM k{n} UNION ALL SELECT id, e * 0.95 FROM w{p}) GROUP BY id),
 b{n} AS (SELECT coalesce(a{n}.id, sd.id) AS id, coalesce(e, 0) * (1 + 0.3 * coalesce(s, 0)) * (1 - {f}) + {f} * coalesce(s, 0) * coalesce(s, 0) AS e FROM a{n} FULL JOIN sd ON a{n}.id = sd.id),
 t{n} AS (SELECT * FROM b{n} ORDER BY e DESC, id LIMIT 256), w{n} AS (SELECT id, e / (SELECT max(e) FROM t{n}) AS e FROM t{n})"""
@@ -348,15 +361,34 @@ def t02(spark: SparkSession, d: str) -> DataFrame:
     return _ran(spark, Z.subscribe(stream.select("event_id", F.col("event_type").alias("type"), F.lit("c").alias("collection")), ["view", "click"], "c")).drop("collection")
 
 
-query("t03_trajectory_event", f"WITH {X.query_of()} SELECT id, round(v[1], 6) + 0.0 AS x, round(v[2], 6) + 0.0 AS y FROM pts, q ORDER BY {X.l2('v', 'q')}, id LIMIT 1")(
-    lambda spark, d: S.search(X.points(spark, d), X.vector(spark, d), 1).select("id", (F.round(F.element_at("vector", 1), 6) + 0.0).alias("x"), (F.round(F.element_at("vector", 2), 6) + 0.0).alias("y"))
-)
+@query("t03_trajectory_event", f"""WITH {X.pts()}, q AS (SELECT id AS query_id, {X.times("v", "0.5")} AS q FROM pts WHERE id % 20 = 0),
+r AS (SELECT query_id, id, v, row_number() OVER (PARTITION BY query_id ORDER BY round({X.l2("v", "q")}, 9), id) AS r FROM pts, q)
+SELECT 'trajectory' AS type, query_id, id, round(v[1], 6) + 0.0 AS x, round(v[2], 6) + 0.0 AS y FROM r WHERE r = 1""")
+def t03(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of searches; each emits an event with its top hit and where that lies."""
+    points = X.points(spark, d)
+    asked, out = work_path(spark, "asked"), work_path(spark, "events")
+    points.where("id % 20 = 0").select("id", scale(F.col("vector"), 0.5).alias("vector")).repartition(3, "id").write.parquet(asked)
+    stream = spark.readStream.schema("id long, vector array<double>").option("maxFilesPerTrigger", 1).parquet(asked)
+    Z.run_batches(stream, Z.emit_trajectory(points, out), work_path(spark, "progress"))
+    events = spark.read.parquet(f"{out}/*")
+    return events.select("type", "query_id", "id", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))
+
+
 query("t04_clock", f"WITH {_LOG} SELECT max(clock) + 1 AS clock, greatest(max(clock), 12345) + 1 AS merged FROM lg")(
     lambda spark, d: Z.tick(_log(spark, d)).select("clock", Z.merge_clocks(F.col("clock") - 1, F.lit(12345)).alias("merged"))
 )
-query("t05_monitor", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")(
-    lambda spark, d: X.table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-)
+@query("t05_monitor", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, max(ts) AS last FROM events GROUP BY event_type")
+def t05(spark: SparkSession, d: str) -> DataFrame:
+    """Running totals by type, kept up batch by batch over a stream of files."""
+    events, path = X.table(spark, d, "events"), work_path(spark, "stream")
+    events.repartition(4, "event_id").write.parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = work_path(spark, "totals")
+    Z.run_batches(Z.monitor(stream), Z.replace_at(out), work_path(spark, "progress"), "complete")
+    return Z.last_version(spark, out).select("event_type", "n", F.round("total", 4).alias("total"), "last")
+
+
 query("t06_expiry", "SELECT event_id FROM events WHERE ts + to_seconds(event_id % 1000 * 60) > (SELECT max(ts) FROM events)")(
     lambda spark, d: Z.alive(X.table(spark, d, "events").withColumn("ttl", (F.col("event_id") % 1000 * 60).cast("decimal(18,6)")), F.lit(X.table(spark, d, "events").agg(F.max("ts")).first()[0])).select("event_id")
 )
@@ -460,8 +492,6 @@ def m19(spark: SparkSession, d: str) -> DataFrame:
 def s21(spark: SparkSession, d: str) -> DataFrame:
     """Likeness weighed down by how far a hit lies from the other hits."""
     from lumenspar.functions.geometry import local_entropy
-    from lumenspar.functions.vectors import scale
-
     hits = S.search(X.points(spark, d), X.vector(spark, d), 20, "cosine").select("id", "distance", scale(F.col("vector"), 0.95).alias("p"))
     others = F.collect_list("p").over(Window.partitionBy())
     score = (1 - F.col("distance") / 2) * (1 - 0.25 * local_entropy(F.col("p"), others))
@@ -470,11 +500,8 @@ def s21(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s18_client_wave")
 def s18(spark: SparkSession, d: str) -> DataFrame:
-    """Five seeds, their neighbourhoods by rank, scores added up."""
-    seeds = S.search(X.points(spark, d), X.vector(spark, d), 5).select(F.col("id").alias("src"), (1 / (1 + F.col("distance"))).alias("w"))
-    scored = _edges(spark, d).join(seeds, "src").select(F.col("dst").alias("id"), (F.col("w") / (1 + F.col("rank"))).alias("s"))
-    total = scored.unionByName(seeds.select(F.col("src").alias("id"), F.col("w").alias("s"))).groupBy("id").agg(F.sum("s").alias("score"))
-    return total.select("id", "score", (1 / F.col("score") - 1).alias("distance"))
+    """Five seeds, a diffusive traverse from each, its ranks weighed by the seed and added up."""
+    return G.consensus_wave(X.points(spark, d), _edges(spark, d), X.vector(spark, d), 10)
 
 
 query("x00_norms", f"WITH {X.pts()} SELECT id, round(sqrt({X.n2('v')}), 6) AS length FROM pts")(lambda spark, d: X.points(spark, d).select("id", F.round(norm(F.col("vector")), 6).alias("length")))
@@ -527,15 +554,15 @@ query("x05_explore_down", _REACH.format(e=_EDGES, start=20, depth=2))(lambda spa
 
 
 @query("x07_fused_retrieval", f"""WITH {X.query_of()}, v AS (SELECT id, row_number() OVER (ORDER BY {X.l2("v", "q")}, id) AS r FROM pts, q QUALIFY r <= 20),
-t AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents QUALIFY r <= 20)
+{LX.keyword_sql()}, t AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS r FROM bm QUALIFY r <= 20)
 SELECT coalesce(v.id, t.id) AS id, round(coalesce(1 / (0.5::DOUBLE + v.r), 0) + coalesce(1 / (0.5::DOUBLE + t.r), 0), 6) AS score FROM v FULL JOIN t ON v.id = t.id""")
 def x07_fused(spark: SparkSession, d: str) -> DataFrame:
-    """Reciprocal ranks with a small constant, over any two ranked lists."""
+    """Reciprocal ranks with a small constant, over the nearest points and the best documents by keyword."""
     from lumenspar.operators.lexical import rrf
 
     near = S.search(X.points(spark, d), X.vector(spark, d), 20).select("id", "distance")
-    long = X.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("score")).orderBy(F.desc("score"), "id").limit(20)
-    return rrf(near, long, 0.5).select("id", F.round("score", 6).alias("score"))
+    best = LX.keyword_hits(spark, d).select("id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "id").limit(20)
+    return rrf(near, best, 0.5).select("id", F.round("score", 6).alias("score"))
 
 
 @query("a08_configure", "SELECT 5 AS probe_k, 8 AS oversample, 'hybrid' AS metric, 801 AS dimension, 'hybrid801' AS mode")

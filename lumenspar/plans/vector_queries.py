@@ -11,6 +11,7 @@ from lumenspar.functions import fuzzy
 from lumenspar.functions import geometry as G
 from lumenspar.functions import quantize as Q
 from lumenspar.functions.vectors import norm, vec
+from lumenspar.operators import cells
 from lumenspar.operators import search as S
 from lumenspar.plans import fixtures as X
 from lumenspar.plans.registry import query
@@ -285,6 +286,20 @@ for _kind in ("l2", "cosine", "poincare", "lorentz", "hybrid"):
     query(f"s03_batch_search_{_kind}", _batch_sql(_kind, 10, True))(_batch(_kind, 10, True))
 
 
+def _cells(kind: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """Approximate: every id divisible by 20 against the cells it probes; tests measure the recall."""
+        p = X.points(spark, d, kind)
+        found = cells.cell_search(cells.build(p, kind), p.where("id % 20 = 0"), 10, exclude_self=True)
+        return found.select("query_id", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+    return run
+
+
+for _kind in ("l2", "cosine", "poincare", "lorentz"):
+    query(f"s01_cell_search_{_kind}")(_cells(_kind))
+
+
 @query("s04_multi_collection", f"""WITH {X.query_of()}, d AS (SELECT CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS collection, id, {X.l2("v", "q")} AS d FROM pts, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY d, id) AS r FROM d) SELECT collection, id, round(d, 6) AS distance FROM r WHERE r <= 5""")
 def s04_multi(spark: SparkSession, d: str) -> DataFrame:

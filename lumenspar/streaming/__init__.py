@@ -80,3 +80,46 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Runs a stream over what is there, batch by batch."""
+    stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def emit_trajectory(points: DataFrame, path: str, metric: str = "l2") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that searches for each row(id, vector) and emits an event with the top hit.
+
+    Events (type, query_id, id, x, y) of a batch make one folder, which a repeated batch rewrites.
+    """
+    from lumenspar.operators.search import batch_search
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        found = batch_search(points, batch, 1, metric).select("query_id", "id")
+        place = points.select("id", F.element_at("vector", 1).alias("x"), F.element_at("vector", 2).alias("y"))
+        found.join(place, "id").select(F.lit("trajectory").alias("type"), "query_id", "id", "x", "y").write.mode("overwrite").parquet(f"{path}/{epoch}")
+
+    return run
+
+
+def monitor(events: DataFrame) -> DataFrame:
+    """Running counts, sums and last times by type, of a stream or a table."""
+    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("ts").alias("last"))
+
+
+def replace_at(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for complete results: a version each, the one before the last removed."""
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        if epoch > 1:
+            remove(batch.sparkSession, f"{path}/v={epoch - 2}")
+
+    return run
+
+
+def last_version(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version under a path."""
+    rows = spark.read.parquet(path)
+    newest = rows.agg(F.max("v")).first()[0]
+    return spark.read.parquet(f"{path}/v={newest}")

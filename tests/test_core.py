@@ -16,9 +16,11 @@ from lumenspar.functions import distance as D
 from lumenspar.functions import fuzzy, geometry
 from lumenspar.functions import quantize as Q
 from lumenspar.functions.vectors import vec
+from lumenspar.operators import cells
 from lumenspar.operators import search as S
 from lumenspar.operators.lexical import _porter, stopwords
 from lumenspar.plans import ORACLE, QUERIES
+from lumenspar.plans import fixtures as X
 from lumenspar.sources import collections as C
 from lumenspar.sources import wal
 from lumenspar.spec import CollectionSpec, Component
@@ -232,3 +234,30 @@ def test_digests_of_negative_ids(spark):
         return h - 2**64 if h >= 2**63 else h
 
     assert {r.id: r.h for r in points.select("id", G.point_hash("id", "vector").alias("h")).collect()} == {i: fnv(i, v) for i, v in ((-1, [0.5]), (255, [0.5]), (3, [1.0, 2.0]))}
+
+
+@pytest.mark.parametrize("kind", ["l2", "cosine", "poincare", "lorentz"])
+def test_cell_search_finds_most_neighbours(spark, kind):
+    sf = SF.replace("0.001", "0.1")
+    found = {(r.query_id, r.id) for r in QUERIES[f"s01_cell_search_{kind}"](spark, sf).collect()}
+    p = X.points(spark, sf, kind)
+    exact = {(r.query_id, r.id) for r in S.batch_search(p, p.where("id % 20 = 0"), 10, kind, exclude_self=True).collect()}
+    assert len(found & exact) >= 0.95 * len(exact)
+
+
+def test_cells_of_clusters_are_few(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(30, 8)) * 20
+    v = centers[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 8))
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    index = cells.build(points, cells=30, sample=1000)
+    assert index.probes <= 8 and sum(index.sizes.values()) == 3000
+    queries = points.where("id % 20 = 0")
+    exact = {(r.query_id, r.id): r["rank"] for r in S.batch_search(points, queries, 5).collect()}
+    found = {(r.query_id, r.id): r["rank"] for r in cells.cell_search(index, queries, 5).collect()}
+    assert len(found.keys() & exact.keys()) >= 0.95 * len(exact)
+    # blocks of a few rows give what whole cells give
+    monkeypatch.setattr(S, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(S, "POINT_BLOCK", 17)
+    assert {(r.query_id, r.id): r["rank"] for r in cells.cell_search(index, queries, 5).collect()} == found
+    assert cells.cell_search(cells.build(points.limit(0)), queries, 5).count() == 0
