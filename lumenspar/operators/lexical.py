@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenspar.functions.vectors import let
+from lumenspar.operators.stems import STEMMERS
 from lumenspar.work import materialize
 
 METHODS = ("robertson", "lucene", "atire", "bm25l", "bm25plus")
@@ -36,7 +37,7 @@ def tokens(text: Column, config: LexicalConfig = LexicalConfig()) -> Column:  #
     """Words in lower case, stemmed, then without stop words, then with n-grams."""
     out = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(config.pattern))
     if config.stem:
-        out = stem(out)
+        out = stem(out, config.language or "english")
     if config.language:
         stop = stopwords(config.language)
         out = F.filter(out, lambda t: ~t.isin(*stop))
@@ -138,11 +139,19 @@ _STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ic
 _STEP4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion", "al", "er", "ic", "ou"]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem(words: pd.Series) -> pd.Series:
-    """English stems of arrays of words."""
-    cache: dict[str, str] = {}
-    return words.map(lambda ws: [cache[w] if w in cache else cache.setdefault(w, _porter(w)) for w in ws], na_action="ignore")
+def stem(words: Column, language: str = "english") -> Column:
+    """Stems of arrays of words of a language; words of one without a stemmer stay as they are."""
+    name = _ALIASES.get(language.lower(), language.lower())
+    one = _porter if name == "english" else STEMMERS.get(name)
+    if one is None:
+        return words
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def stems(words: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
+        return words.map(lambda ws: [known[w] if w in known else known.setdefault(w, one(w)) for w in ws], na_action="ignore")
+
+    return stems(words)
 
 
 #: Keys that begin so are the system's own (a fixed value).

@@ -97,7 +97,10 @@ def l01_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query("l02_stems")
 def l02_stems(spark: SparkSession, d: str) -> DataFrame:
-    return X.table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.size(F.array_distinct(L.tokens(F.col("text"), L.LexicalConfig(stem=True)))).alias("n_stems"))
+    """Different stems of each document, by the stemmer of its own language; French words stay whole."""
+    words = L.tokens(F.col("text"))
+    stems = L.stem(F.when(F.col("lang") == "en", words)), L.stem(F.when(F.col("lang") == "de", words), "de"), L.stem(F.when(F.col("lang") == "es", words), "es")
+    return X.table(spark, d, "documents").select("doc_id", F.size(F.array_distinct(F.coalesce(*stems, words))).alias("n_stems"))
 
 
 _STOP_OF = {x: ", ".join("'" + w.replace("'", "''") + "'" for w in L.stopwords(x)) for x in ("en", "fr", "de", "es")}

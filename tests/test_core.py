@@ -19,6 +19,7 @@ from lumenspar.functions.vectors import vec
 from lumenspar.operators import cells
 from lumenspar.operators import search as S
 from lumenspar.operators.lexical import _porter, stopwords
+from lumenspar.operators.stems import german, spanish
 from lumenspar.plans import ORACLE, QUERIES
 from lumenspar.plans import fixtures as X
 from lumenspar.sources import collections as C
@@ -163,6 +164,10 @@ def test_line_tree_is_hyperbolic(spark):
 
 def test_stems_and_stopwords():
     assert [_porter(w) for w in ("caresses", "ponies", "hopping", "relational", "rate", "adjustment", "controlling")] == ["caress", "poni", "hop", "relat", "rate", "adjust", "control"]
+    known = {"aufeinander": "aufeinand", "kategorischen": "kategor", "häuser": "haus", "freundlichkeit": "freundlich", "straße": "strass", "ergebnisse": "ergebnis"}
+    assert {w: german(w) for w in known} == known
+    known = {"cheques": "chequ", "chequeo": "cheque", "chicana": "chican", "torreón": "torreon", "toreándolo": "tor", "torcer": "torc", "rápidamente": "rapid", "naciones": "nacion"}
+    assert {w: spanish(w) for w in known} == known
     assert "the" in stopwords("EN") and "und" in stopwords("german") and stopwords("xx") == []
 
 
