@@ -87,30 +87,31 @@ def test_large_buckets_are_cut_without_loss(spark, monkeypatch):
     rng = np.random.default_rng(11)
     base = [f"w{i}" for i in range(200)]
     texts = []
-    for i in range(120):
+    for i in range(60):
         w = list(base)
         for at in rng.integers(0, 200, rng.integers(0, 16)):
             w[at] = f"e{i}_{at}"
         texts.append((i, " ".join(w)))
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     whole = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, width=2).collect()}
-    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 7)
+    # a set of some 200 shingles is more than a block may hold, so each row is a block of its own
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 150)
     cut = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, width=2).collect()}
     sets = [set(zip(w, w[1:], strict=False)) for w in (t.split() for _, t in texts)]
-    parent = list(range(120))
+    parent = list(range(60))
 
     def top(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i in range(120):
+    for i in range(60):
         for k in range(i):
             n = len(sets[i] & sets[k])
             if 100 * n >= 80 * (len(sets[i]) + len(sets[k]) - n):
                 a, b = sorted((top(i), top(k)))
                 parent[b] = a
-    want = {i: top(i) for i in range(120)}
+    want = {i: top(i) for i in range(60)}
     assert whole == want and cut == want
 
 
