@@ -266,3 +266,39 @@ def test_cells_of_clusters_are_few(spark, monkeypatch):
     monkeypatch.setattr(S, "POINT_BLOCK", 17)
     assert {(r.query_id, r.id): r["rank"] for r in cells.cell_search(index, queries, 5).collect()} == found
     assert cells.cell_search(cells.build(points.limit(0)), queries, 5).count() == 0
+
+
+@pytest.mark.parametrize(("alpha", "density"), [(1.0, False), (1.2, False), (1.2, True)])
+def test_pruning_matches_brute_force(spark, alpha, density):
+    points = X.points(spark, SF)
+    edges = G.knn_graph(points, 24).cache()
+    v = {r.id: np.array(r.vector) for r in points.collect()}
+    lists = {}
+    for r in edges.collect():
+        lists.setdefault(r.src, []).append((r.distance, r.dst))
+    want = set()
+    for src, near in lists.items():
+        near.sort()
+        most = 4 if density and sum(d for d, _ in near[:8]) / 8 > 1.2 else 8
+        kept = []
+        for d, dst in near:
+            if len(kept) < most and all(alpha * ((v[dst] - v[other]) ** 2).sum() >= d for other in kept):
+                kept.append(dst)
+        want |= {(src, dst, rank) for rank, dst in enumerate(kept, 1)}
+    assert {(r.src, r.dst, r["rank"]) for r in G.prune(edges, points, 8, alpha=alpha, density=density).collect()} == want
+
+
+def test_marginal_relevance_by_hand(spark):
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.6, 0.8]), (4, [0.0, 1.0])], "id long, vector array<double>")
+    # gains after the first: -0.4, -0.24 and 0
+    assert S.maximal_marginal(points, [1.0, 0.0], 2, 0.3) == [1, 4]
+    assert S.maximal_marginal(points, [1.0, 0.0], 9, 1.0) == [1, 2, 3, 4]
+
+
+def test_trend_towards_the_mean(spark):
+    steps = [("in", i, [0.4 / (i + 1), 0.0]) for i in range(4)] + [("short", 0, [0.1, 0.1])]
+    rows = spark.createDataFrame(steps, "trajectory string, seq long, vector array<double>")
+    found = {r.trajectory: r.trend for r in G.lyapunov(rows).collect()}
+    mean = G.frechet_means(rows.where("trajectory = 'in'").withColumn("id", F.col("seq")), "trajectory").first().mean
+    far = [np.linalg.norm(value(spark, geometry.log_map(vec(mean), vec(x)))) for t, _, x in steps if t == "in"]
+    assert set(found) == {"in"} and found["in"] == pytest.approx((far[-1] - far[0]) / 3, abs=1e-6)
