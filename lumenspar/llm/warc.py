@@ -199,10 +199,10 @@ def read_warc(manifest: DataFrame, folder: str, with_payload: bool = False) -> D
 def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int = 0) -> DataFrame:
     """The records to write: equal payloads after the first become revisits.
 
-    Payloads are read twice and never shuffled by this step: a first pass brings
-    (digest, id) to one row a digest; only digests met more than once are joined back,
-    by broadcast if their table's size on disk allows it, else by a join in which a hot
-    digest is split.
+    Payloads are read twice: a first pass brings (digest, id) to one row a digest, and only
+    digests met more than once are joined back, by broadcast if their table's size on disk
+    allows it. Beyond that size the payloads are shuffled by digest, once, in a join in
+    which a hot digest is split.
     """
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "utf-8")
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("key", F.sha1("payload"))
