@@ -276,7 +276,7 @@ def weighted_fusion(vector_hits: DataFrame, keyword_hits: DataFrame, alpha: floa
 
 
 def hybrid_search(
-    vector_hits: DataFrame, index: LexicalIndex, terms: Sequence[str], k: int, fuse: Callable[[DataFrame, DataFrame], DataFrame] = rrf,
+    vector_hits: DataFrame, index: LexicalIndex | None, terms: Sequence[str], k: int, fuse: Callable[[DataFrame, DataFrame], DataFrame] = rrf,
     config: LexicalConfig = LexicalConfig(),  # noqa: B008
 ) -> DataFrame:
     """(id, distance) with distance = 10 - fused score; without terms the vector hits alone."""

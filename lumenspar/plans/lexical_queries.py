@@ -197,9 +197,12 @@ _RRF = f"""{_HITS}, rv AS (SELECT id, row_number() OVER (ORDER BY distance, id)
 fu AS (SELECT coalesce(rv.id, rt.id) AS id, coalesce(1 / (60.0::DOUBLE + rv), 0) + coalesce(1 / (60.0::DOUBLE + rt), 0) AS score FROM rv FULL JOIN rt ON rv.id = rt.id)"""
 
 
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    return S.search(X.points(spark, d), X.vector(spark, d), 100).select("id", "distance")
+
+
 def _hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    near = S.search(X.points(spark, d), X.vector(spark, d), 100).select("id", "distance")
-    return near, L.keyword_candidates(L.bm25(_index(spark, d), TERMS), 10)
+    return _near(spark, d), L.keyword_candidates(L.bm25(_index(spark, d), TERMS), 10)
 
 
 @query("l12_rrf", f"WITH {_RRF} SELECT id, round(score, 6) AS score FROM fu")
@@ -216,11 +219,10 @@ def l13_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 @query("l14_hybrid_search", f"WITH {_RRF} SELECT id, round(10 - score, 6) AS distance FROM fu ORDER BY 10 - score, id LIMIT 10")
 def l14_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    near, _ = _hits(spark, d)
-    return L.hybrid_search(near, _index(spark, d), TERMS, 10).select("id", F.round("distance", 6).alias("distance"))
+    return L.hybrid_search(_near(spark, d), _index(spark, d), TERMS, 10).select("id", F.round("distance", 6).alias("distance"))
 
 
-query("l15_no_terms", X.top("l2", 10))(lambda spark, d: L.hybrid_search(_hits(spark, d)[0], _index(spark, d), [], 10).select("id", F.round("distance", 6).alias("distance")))
+query("l15_no_terms", X.top("l2", 10))(lambda spark, d: L.hybrid_search(_near(spark, d), None, [], 10).select("id", F.round("distance", 6).alias("distance")))
 
 
 @query("l17_reindex_upserts", f"""WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN lang || ' ' || source || ' rewritten' ELSE text END AS text FROM documents),

@@ -29,8 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; nothing exists there yet."""
-    return f"{shared_dir(spark)}/lumenspar/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's part of the shared folder; nothing exists there yet."""
+    return f"{shared_dir(spark)}/lumenspar/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
@@ -50,3 +50,8 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all working tables of this application, once its results are written elsewhere."""
+    remove(spark, f"{shared_dir(spark)}/lumenspar/{spark.sparkContext.applicationId}")

@@ -25,7 +25,7 @@ from lumenspar.plans import fixtures as X
 from lumenspar.sources import collections as C
 from lumenspar.sources import wal
 from lumenspar.spec import CollectionSpec, Component
-from lumenspar.work import work_path
+from lumenspar.work import shared_dir, work_path
 from tests.conftest import SF
 
 
@@ -144,6 +144,19 @@ def test_wal_replay_and_source(spark, tmp_path):
     assert sorted((r.clock, r.op, r.id, tuple(r.vector), r.metadata["k"]) for r in read.collect()) == sorted((e.clock, e.op, e.id, e.vector, e.metadata["k"]) for e in entries)
 
 
+def test_working_tables_can_be_removed(spark, monkeypatch):
+    from lumenspar import work
+
+    own = shared_dir(spark) + "/other"
+    monkeypatch.setattr(work, "shared_dir", lambda _: own)
+    made = work.materialize(spark.range(10), "ten")
+    folder = made.inputFiles()[0].rsplit("/", 2)[0]
+    assert own in folder and spark.sparkContext.applicationId in folder
+    work.clean_up(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder + "/*")
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 102), (102, 101), (7, 7), (None, 3)], "src long, dst long")
     labels = {r.node: r.label for r in connected_components(edges).collect()}
