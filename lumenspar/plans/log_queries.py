@@ -294,6 +294,40 @@ def _batch_upserts(spark: SparkSession, d: str) -> DataFrame:
     return made.live().select("id", F.element_at("metadata", "event").cast("long").alias("last"))
 
 
+@query("io12_durability", """WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT s AS step, CASE s WHEN 0 THEN 0 WHEN 1 THEN n ELSE n END AS through_handle, CASE s WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE n END AS written
+FROM n, unnest(range(0, 4)) AS u(s)""")
+def io12(spark: SparkSession, d: str) -> DataFrame:
+    """What a handle and what a fresh reader see: before, while a batch is held, after the commit, after an asynchronous write."""
+    catalog = C.Catalog(spark, work_path(spark, "catalog"))
+    made = catalog.create(CollectionSpec("vectors", (Component("all", "l2", 64),)))
+    rows = X.metadata_points(spark, d).select("id", "vector", "metadata")
+    seen = []
+
+    def look() -> None:
+        seen.append((len(seen), made.live().count(), catalog.get("vectors").live().count()))
+
+    look()
+    made.insert(rows.where("id % 2 = 0"), durability="batch")
+    made.insert(rows.where("id % 2 = 1"), durability="batch")
+    look()
+    made.commit()
+    look()
+    made.insert(rows, durability="async")
+    made.commit()
+    look()
+    return spark.createDataFrame(seen, "step long, through_handle long, written long")
+
+
+@query("io16_chunk_store", f"WITH {X.pts()} SELECT count(*) AS points, 8::BIGINT AS chunks, true AS pruned FROM pts")
+def io16(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks written to a store of their own and read back one by one, each alone."""
+    store = work_path(spark, "store")
+    routes = _collection(spark, d).flush(8, store).collect()
+    one = [C.read_chunks(spark, store, [r.chunk]) for r in routes]
+    pruned = all("PartitionFilters: [isnotnull(chunk" in x._jdf.queryExecution().toString() for x in one)
+    return spark.createDataFrame([(sum(x.count() for x in one), len(one), pruned)], "points long, chunks long, pruned boolean")
+
+
 @query("io13_snapshot", "SELECT vec_id AS id FROM embeddings")
 def io13(spark: SparkSession, d: str) -> DataFrame:
     made, path = _collection(spark, d), work_path(spark, "snapshot")

@@ -13,6 +13,7 @@ or the other. One writer at a time is assumed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ from lumenspar.spec import CollectionSpec
 from lumenspar.work import remove
 
 LOG = "clock long, seq long, op string, id long, vector array<double>, metadata map<string,string>"
+DURABILITY = ("strict", "batch", "async")
 PAYLOADS = "clock long, seq long, id long, payload binary"
 
 
@@ -70,6 +72,9 @@ class Collection:
     def __init__(self, spark: SparkSession, path: str, spec: CollectionSpec):
         self.spark, self.path, self.spec = spark, path, spec
         self._frozen: DataFrame | None = None
+        self._held: list[DataFrame] = []
+        self._ticks = 0
+        self._writer: Future | None = None
 
     def _version(self) -> int:
         """The largest number of a complete log folder."""
@@ -80,17 +85,29 @@ class Collection:
         return max(int(n[4:]) for n in names if n.startswith("log-") and fs.exists(hadoop.Path(f"{self.path}/{n}/_SUCCESS")))
 
     def log(self) -> DataFrame:
-        return self.spark.read.schema(LOG).parquet(f"{self.path}/log-{self._version()}")
+        """The log as written, and what this handle still holds back."""
+        out = self.spark.read.schema(LOG).parquet(f"{self.path}/log-{self._version()}")
+        for rows in self._held:
+            out = out.unionByName(rows)
+        return out
 
     def clock(self) -> int:
         """The largest clock so far; 0 for an empty log."""
+        if self._held:
+            return self._ticks
         return self.log().agg(F.max("clock").alias("c")).first().c or 0
 
-    def insert(self, rows: DataFrame, strict: bool = True) -> int:
+    def insert(self, rows: DataFrame, strict: bool = True, durability: str = "strict") -> int:
         """Appends rows(id, vector, metadata[, payload]); the batch shares one tick of the clock, the last row of an id holds.
 
-        Longer vectors are cut, shorter or invalid ones an error (or left out).
+        Longer vectors are cut, shorter or invalid ones an error (or left out). With
+        ``durability`` strict the rows are written before the call returns; with batch they
+        are held, seen through this handle alone, until ``commit``; with async they are
+        written by a thread that ``commit`` waits for. Held rows have to come from a source
+        that gives them again, as nothing of them is copied.
         """
+        if durability not in DURABILITY:
+            raise ValueError(f"durability is one of {', '.join(DURABILITY)}")
         dim, tick = self.spec.dimension, self.clock() + 1
         vector = F.slice(F.col("vector").cast("array<double>"), 1, dim)
         vector = normalize(vector) if self.spec.metric == "cosine" else vector
@@ -103,16 +120,40 @@ class Collection:
         else:
             ready = ready.where(good)
         meta = F.col("metadata") if "metadata" in rows.columns else F.expr("cast(map() as map<string,string>)")
-        self._append(ready.select(F.lit(tick).cast("long").alias("clock"), "seq", F.lit("insert").alias("op"), F.col("id").cast("long"), "vector", meta.alias("metadata")))
+        logged = ready.select(F.lit(tick).cast("long").alias("clock"), "seq", F.lit("insert").alias("op"), F.col("id").cast("long").alias("id"), "vector", meta.alias("metadata"))
+        self._ticks = tick
+        if durability == "strict":
+            self.commit()
+            self._append(logged)
+        elif durability == "batch":
+            self._held.append(logged)
+        else:
+            self.commit()
+            pool = ThreadPoolExecutor(1)
+            self._writer = pool.submit(self._append, logged)
+            pool.shutdown(wait=False)
         if "payload" in rows.columns:
             stored = rows.where(F.col("payload").isNotNull()).select(F.lit(tick).cast("long").alias("clock"), "seq", F.col("id").cast("long"), F.col("payload").cast("binary"))
             stored.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/payloads")
         return tick
 
+    def commit(self) -> None:
+        """Writes what is held in one append, and waits for a write that is under way."""
+        if self._writer:
+            self._writer.result()
+            self._writer = None
+        if held := self._held:
+            rows = held[0]
+            for more in held[1:]:
+                rows = rows.unionByName(more)
+            self._append(rows)
+            self._held = []
+
     def _append(self, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.path}/log-{self._version()}")
 
     def delete(self, ids: DataFrame) -> int:
+        self.commit()
         tick = self.clock() + 1
         none = [F.expr(f"cast(null as {kind})").alias(name) for name, kind in (("vector", "array<double>"), ("metadata", "map<string,string>"))]
         self._append(ids.select(F.lit(tick).cast("long").alias("clock"), F.lit(0).cast("long").alias("seq"), F.lit("delete").alias("op"), F.col("id").cast("long"), *none))
@@ -163,6 +204,7 @@ class Collection:
 
     def vacuum(self, predicate: Column | None = None) -> None:
         """Rewrites the log as the live points less those that match; an index is to be rebuilt after it."""
+        self.commit()
         old = self._version()
         keep = self.live() if predicate is None else self.live().where(~predicate)
         ready = keep.select("clock", F.lit(0).cast("long").alias("seq"), F.lit("insert").alias("op"), "id", "vector", "metadata")
@@ -170,14 +212,22 @@ class Collection:
         ready.write.mode("overwrite").parquet(f"{self.path}/log-{old + 1}")
         remove(self.spark, f"{self.path}/log-{old}")
 
-    def flush(self, chunks: int) -> DataFrame:
-        """Live points written by chunk of ids; returns (chunk, centroid, n) for routing."""
+    def flush(self, chunks: int, to: str | None = None) -> DataFrame:
+        """Live points written by chunk of ids; returns (chunk, centroid, n) for routing.
+
+        ``to`` is a folder of any store that Spark reaches; without it the collection's own.
+        """
         live = self.live().withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
-        live.repartition("chunk").write.mode("overwrite").partitionBy("chunk").parquet(f"{self.path}/chunks")
-        stored = self.spark.read.parquet(f"{self.path}/chunks")
+        live.repartition("chunk").write.mode("overwrite").partitionBy("chunk").parquet(to or f"{self.path}/chunks")
+        stored = self.spark.read.parquet(to or f"{self.path}/chunks")
         return stored.groupBy("chunk").agg(mean_vector(F.col("vector"), self.spec.dimension).alias("centroid"), F.count(F.lit(1)).alias("n"))
 
 
+def read_chunks(spark: SparkSession, path: str, chunks: Sequence[int]) -> DataFrame:
+    """The points of some chunks; files of the others are not touched, and of these only the columns asked for."""
+    return spark.read.parquet(path).where(F.col("chunk").isin(list(chunks)))
+
+
 def changed(old: DataFrame, new: DataFrame, delta: float) -> DataFrame:
     """(id, reindex): whether a rewrite moves the vector beyond delta or alters metadata."""
     from lumenspar.functions.distance import l2
