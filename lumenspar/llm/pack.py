@@ -4,7 +4,7 @@ Pieces are placed as they arrive. A bounded number of bins is open; they hang in
 free space and a bitset says which stacks are not empty, so the tightest bin that takes a
 piece is one bit scan. When the bound is reached the fullest bin closes. A short read-ahead
 is placed longest first, which saves most of what best fit wastes on pieces in any order
-(1.0 % more sequences than the total length needs, 0.15 % with it, on the test documents).
+(1.0 % more sequences than the total length needs, 0.04 % with it, on the test documents).
 Only the pieces' lengths travel, never the token ids.
 
 Defined results: a null text is an empty one and gives the end token alone; repeated
@@ -28,9 +28,9 @@ from lumenspar.llm.encode import encoder
 from lumenspar.work import materialize
 
 LENGTH = 2048
-OPEN_BINS = 1024
+OPEN_BINS = 4096
 #: Pieces read ahead; they are placed longest first.
-READ_AHEAD = 512
+READ_AHEAD = 2048
 #: Pieces that one task packs; a bound on its memory, not on the number of pieces.
 PIECES_A_TASK = 250_000
 
