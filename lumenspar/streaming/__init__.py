@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lumenspar.operators.accounting import latest
 from lumenspar.work import remove
@@ -45,26 +46,55 @@ def merge_clocks(mine: Column, theirs: Column) -> Column:
     return F.greatest(mine, theirs) + 1
 
 
-def merge_into(path: str, key: str = "id") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps the latest row of each key in versions under ``path``.
+def merge_into(path: str, key: str = "id", buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps the latest row of each key under ``path``; ``merged`` reads it.
 
-    A batch writes version n + 1 from version n and itself; a repeated batch rewrites the
-    same version, so delivery twice does no harm.
+    Keys lie in buckets by hash, and a batch rewrites only the buckets that it touches, as
+    version ``epoch`` of these; a bucket's newest version holds. A repeated batch starts from
+    the versions before its own and rewrites the same one, so delivery twice does no harm.
+    Versions that no repeat can need any more are removed.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = batch
+        new = batch.withColumn("b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r.b for r in new.select("b").distinct().collect()]  # no more than there are buckets
+        if not touched:
+            return
         if epoch:
-            new = new.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v={epoch - 1}"))
-        latest(new, key).write.mode("overwrite").parquet(f"{path}/v={epoch}")
-        if epoch > 1:
-            # a batch that is delivered again needs the version before it, not the one before that
-            remove(spark, f"{path}/v={epoch - 2}")
+            new = new.unionByName(_newest(spark, path, batch.schema, epoch).where(F.col("b").isin(touched)).select(*batch.columns, "b"))
+        merged_ = latest(new.select(*batch.columns), key).withColumn("b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        merged_.repartition("b").write.mode("overwrite").partitionBy("b").parquet(f"{path}/v={epoch}")
+        for v, b in _superseded(spark, path, batch.schema, epoch):
+            remove(spark, f"{path}/v={v}/b={b}")
 
     return run
 
 
+def _versions(spark: SparkSession, path: str, schema: StructType, before: int) -> DataFrame:
+    """Rows of all versions before an epoch, with b and v."""
+    full = StructType([*schema.fields, StructField("v", IntegerType()), StructField("b", IntegerType())])
+    return spark.read.schema(full).parquet(path).where(F.col("v") < before)
+
+
+def _newest(spark: SparkSession, path: str, schema: StructType, before: int) -> DataFrame:
+    rows = _versions(spark, path, schema, before)
+    newest = rows.groupBy("b").agg(F.max("v").alias("v"))  # a row a bucket, from the folders' names
+    return rows.join(F.broadcast(newest), ["b", "v"])
+
+
+def _superseded(spark: SparkSession, path: str, schema: StructType, epoch: int) -> list[tuple[int, int]]:
+    """Versions older than the one that a repeat of this epoch would start from."""
+    there = _versions(spark, path, schema, epoch).select("b", "v").distinct()
+    return [(v, r.b) for r in there.groupBy("b").agg(F.array_sort(F.collect_set("v")).alias("vs")).collect() for v in r.vs[:-1]]
+
+
+def merged(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows that ``merge_into`` keeps under a path."""
+    kept = spark.createDataFrame([], schema)
+    return _newest(spark, path, kept.schema, 2**31 - 1).select(*kept.columns)
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and sums by time window and type, for streams and tables."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)

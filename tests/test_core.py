@@ -315,3 +315,19 @@ def test_trend_towards_the_mean(spark):
     mean = G.frechet_means(rows.where("trajectory = 'in'").withColumn("id", F.col("seq")), "trajectory").first().mean
     far = [np.linalg.norm(value(spark, geometry.log_map(vec(mean), vec(x)))) for t, _, x in steps if t == "in"]
     assert set(found) == {"in"} and found["in"] == pytest.approx((far[-1] - far[0]) / 3, abs=1e-6)
+
+
+def test_a_batch_that_comes_twice_merges_once(spark):
+    from lumenspar import streaming as Z
+
+    path = work_path(spark, "merged")
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, clock long, x string")
+    merge = Z.merge_into(path, buckets=2)
+    merge(rows((1, 1, "a"), (2, 1, "b"), (3, 1, "c")), 0)
+    for epoch in (1, 1, 2, 3, 3):
+        merge(rows((1, epoch + 1, f"a{epoch}"), (3, 0, "late")), epoch)
+    merge(rows().limit(0), 4)
+    found = {(r.id, r.clock, r.x) for r in Z.merged(spark, path, "id long, clock long, x string").collect()}
+    assert found == {(1, 4, "a3"), (2, 1, "b"), (3, 1, "c")}
+    left = spark.read.parquet(path).groupBy("b").agg(F.countDistinct("v").alias("n")).collect()
+    assert all(r.n <= 2 for r in left)
