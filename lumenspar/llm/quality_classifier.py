@@ -206,11 +206,9 @@ def train(sample: DataFrame) -> dict:
     return model
 
 
-def _evidence(model: Broadcast, kind_cols: list[str]) -> Callable:
+def _evidence(shared: Broadcast, columns: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        traits = model.value
-        weights = {f: tuple(traits[t][0].get(f, 0.0) if t in traits else 0.0 for t in TRAITS) for t in traits for f in traits[t][0]}
-        start = tuple(traits[t][1] - traits[t][2] if t in traits else 0.0 for t in TRAITS)
+        start, weights = shared.value
         for batch in batches:
             out: list[list[float]] = [[], []]
             for text in batch.column("text"):
@@ -221,7 +219,7 @@ def _evidence(model: Broadcast, kind_cols: list[str]) -> Callable:
                             low, toxic = low + w[0], toxic + w[1]
                 out[0].append(low)
                 out[1].append(toxic)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kind_cols), *map(pa.array, out)], names=[*kind_cols, "low", "toxic"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *map(pa.array, out)], names=[*columns, "low", "toxic"])
 
     return run
 
@@ -229,7 +227,10 @@ def _evidence(model: Broadcast, kind_cols: list[str]) -> Callable:
 def evidence(docs: DataFrame, model: dict, columns: Sequence[str]) -> DataFrame:
     """The named columns and the log-odds evidence of each trait; no shuffle."""
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # one table for both traits: what a worker holds is bounded by the sample's features
+    weights = {f: tuple(model[t][0].get(f, 0.0) if t in model else 0.0 for t in TRAITS) for t in model for f in model[t][0]}
+    start = tuple(model[t][1] - model[t][2] if t in model else 0.0 for t in TRAITS)
+    shared = docs.sparkSession.sparkContext.broadcast((start, weights))
     return docs.select(*columns, "text").mapInArrow(_evidence(shared, list(columns)), f"{kinds}, low double, toxic double")
 
 
