@@ -115,7 +115,7 @@ def earlier_copies(places: DataFrame) -> DataFrame:
             active = _refined(active, levels[k], 2**k)
         # the first places of the parts of each group of 2^k lines; if it has but one, nothing is left to tell
         first = levels[k].join(levels[k + 1].where("name <> place").select("place"), "place", "left_anti")
-        apart = first.where("place <> name").select("name").distinct()
+        apart = materialize(first.where("place <> name").select("name").distinct(), "apart")
         group = first.join(apart, "name", "left_semi").select(F.lit(2**k).cast("long").alias("cur"), F.col("name").alias("head"), "place", "left")
         active = group if active is None else active.unionByName(group)
     if active is None:
