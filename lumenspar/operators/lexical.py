@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zipfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -73,7 +74,9 @@ def stopwords(language: str) -> list[str]:
 
 @cache
 def _stopwords(name: str) -> list[str]:
-    found = sorted(Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"))
+    # pyspark may be imported from the archive that lies in Spark's python/lib
+    homes = [*Path(pyspark.__file__).parents, *(Path(os.environ[x]) for x in ("SPARK_HOME",) if x in os.environ)]
+    found = [jar for home in homes for jar in sorted(home.glob("jars/spark-mllib_*.jar"))]
     if found:
         with zipfile.ZipFile(found[0]) as jar:
             words = jar.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt").decode().splitlines()

@@ -1,6 +1,11 @@
 """The engine's own operators: fixtures with known answers, laws, plans, and all SQL twins."""
 
+import importlib.util
 import math
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import numpy as np
@@ -184,6 +189,14 @@ def test_stems_and_stopwords():
     assert "the" in stopwords("EN") and "und" in stopwords("german") and stopwords("xx") == []
 
 
+def test_queries_load_without_a_session_from_the_archive_of_pyspark():
+    lib = next(Path(importlib.util.find_spec("pyspark").origin).parent.glob("python/lib"))
+    path = os.pathsep.join([str(Path(__file__).parent.parent), *map(str, sorted(lib.glob("*.zip")))])
+    code = "import pyspark, __spark_entry__ as e; assert '.zip' in pyspark.__file__; print(len(e.queries()))"
+    env = {k: v for k, v in os.environ.items() if k != "SPARK_HOME"} | {"PYTHONPATH": path}
+    assert int(subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout) > 100
+
+
 def test_refined_codes_are_one_greedy_pass():
     rng = np.random.default_rng(1)
     for n in (1, 3, 64, 128):
