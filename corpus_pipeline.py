@@ -22,7 +22,7 @@ from lumenspar.llm.line_dedup import line_dedup
 from lumenspar.llm.near_dedup import near_duplicates
 from lumenspar.llm.pack import pack_documents
 from lumenspar.llm.quality_classifier import classify
-from lumenspar.work import materialize
+from lumenspar.work import in_few, materialize
 
 KEY = "_document"
 
@@ -38,7 +38,7 @@ def _without(docs: DataFrame, rejected: DataFrame, once: bool = False) -> DataFr
     # wrapped up, whatever the columns are called
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key().alias("key"))
     left = keyed.join(gone, (keyed.key.k1 == gone.k1) & (keyed.key.k2 == gone.k2), "left_anti")
-    return (left.dropDuplicates(["key"]) if once else left).select("row.*")
+    return in_few((left.dropDuplicates(["key"]) if once else left).select("row.*"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs go; a document made of nothing else goes with them."""
     cut = line_dedup(docs)
     left = cut.where("n_deleted = 0 or n_deleted < n_lines")
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return in_few(left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

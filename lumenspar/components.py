@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenspar.work import materialize, remove
+from lumenspar.work import compact, remove
 
 MAX_ROUNDS = 60
 
@@ -34,10 +34,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     clean = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst")
-    state = materialize(clean.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
+    state = compact(clean.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
     seen = None
     for _ in range(MAX_ROUNDS):
-        new = materialize(_small_star(_large_star(state).distinct()).distinct(), "edges")
+        new = compact(_small_star(_large_star(state).distinct()).distinct(), "edges")
         mark = tuple(new.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("src", "dst"))).first())
         remove(spark, state.inputFiles()[0].rsplit("/", 1)[0]) if state.inputFiles() else None
         state = new

@@ -25,7 +25,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspar.work import materialize
+from lumenspar.work import compact
 
 WINDOW = 8
 #: Test texts are searched in blocks of so many characters; a block is what is broadcast.
@@ -197,17 +197,17 @@ def decontaminate(
             first = shared
         else:
             scan = _scan(shared, window, ["k1", "k2"], True)
-            more.append(materialize(keyed.mapInArrow(scan, f"k1 long, k2 long, n_words long, {_SPANS}").distinct(), "hits"))
+            more.append(compact(keyed.mapInArrow(scan, f"k1 long, k2 long, n_words long, {_SPANS}").distinct(), "hits"))
             shared.unpersist()
     if not more:
         out = text.mapInArrow(_scan(first, window, ["doc_id"], False), f"doc_id {kind}, n_words long, {_SPANS}")
     else:
-        once = materialize(keyed.mapInArrow(_scan(first, window, ["doc_id", "k1", "k2"], False), f"doc_id {kind}, k1 long, k2 long, n_words long, {_SPANS}"), "scanned")
+        once = compact(keyed.mapInArrow(_scan(first, window, ["doc_id", "k1", "k2"], False), f"doc_id {kind}, k1 long, k2 long, n_words long, {_SPANS}"), "scanned")
         hits = once.where(F.size("items") > 0).select("k1", "k2", "spans", "items").distinct()
         for found in more:
             hits = hits.unionByName(found.select("k1", "k2", "spans", "items"))
         gathered = hits.groupBy("k1", "k2").agg(F.collect_list("spans").alias("all_spans"), F.collect_list("items").alias("all_items"))
-        merged = materialize(gathered.mapInArrow(_merged, f"k1 long, k2 long, {_SPANS}"), "merged")
+        merged = compact(gathered.mapInArrow(_merged, f"k1 long, k2 long, {_SPANS}"), "merged")
         none = lambda c: F.coalesce(F.col(c), F.array().cast(merged.schema[c].dataType)).alias(c)
         out = once.select("doc_id", "k1", "k2", "n_words").join(merged, ["k1", "k2"], "left").select("doc_id", "n_words", none("spans"), none("items"))
     # after one pass the digests run in the same Python task as the search

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspar.work import materialize
+from lumenspar.work import compact
 
 MIN_LINES = 3
 MIN_CHARS = 50
@@ -58,13 +58,13 @@ def placed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     ids = F.transform(_solid(F.col(text_col)), lambda x: F.struct(F.xxhash64(x["t"]).alias("h1"), F.xxhash64(x["t"], F.lit(7)).alias("h2")))
     rows = docs.select(F.col(id_col).alias("doc"), *_keys(id_col, text_col), ids.alias("lines")).where(F.size("lines") > 0)
-    rows = materialize(rows.dropDuplicates(["k1", "k2"]), "lines")
+    rows = compact(rows.dropDuplicates(["k1", "k2"]), "lines")
     ranked = rows.repartitionByRange(F.col("doc").asc_nulls_first(), "k1", "k2").sortWithinPartitions(F.col("doc").asc_nulls_first(), "k1", "k2")
     each = ranked.select("doc", "k1", "k2", F.size("lines").alias("n"), F.posexplode("lines").alias("at", "x"))
     placed = each.select(
         F.monotonically_increasing_id().alias("place"), (F.col("n") - F.col("at")).alias("left"), F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2"), "doc", "k1", "k2", "at"
     )
-    return materialize(placed, "places")
+    return compact(placed, "places")
 
 
 def _named(rows: DataFrame, *by: str) -> DataFrame:
@@ -74,7 +74,7 @@ def _named(rows: DataFrame, *by: str) -> DataFrame:
     so that the join reads plain tables and Spark splits a hot key.
     """
     groups = rows.groupBy(*by).agg(F.min("place").alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return materialize(rows.join(materialize(groups, "groups"), [*by]).select("place", "left", "name"), "names")
+    return compact(rows.join(compact(groups, "groups"), [*by]).select("place", "left", "name"), "names")
 
 
 def doubled(level: DataFrame, half: int) -> DataFrame:
@@ -93,12 +93,12 @@ def _refined(active: DataFrame, level: DataFrame, half: int) -> DataFrame:
     next_ = level.select((F.col("place")).alias("then"), F.col("name").alias("next"))
     ahead = active.withColumn("then", F.when(F.col("left") > F.col("cur"), F.col("place") + F.col("cur")))
     # who has no name ahead is a part of its own
-    split = materialize(ahead.join(next_, "then", "left").select("cur", "head", "place", "left", "next"), "ahead")
+    split = compact(ahead.join(next_, "then", "left").select("cur", "head", "place", "left", "next"), "ahead")
     parts = split.where("next is not null").groupBy("cur", "head", "next").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
-    known = split.join(materialize(parts.where("n > 1"), "parts"), ["cur", "head", "next"], "left")
+    known = split.join(compact(parts.where("n > 1"), "parts"), ["cur", "head", "next"], "left")
     longer = known.where("n > 1").select((F.col("cur") + half).alias("cur"), F.col("first").alias("head"), "place", "left")
     rest = known.where("n is null or first = place").select("cur", "head", "place", "left")
-    return materialize(longer.unionByName(rest), "active")
+    return compact(longer.unionByName(rest), "active")
 
 
 def earlier_copies(places: DataFrame) -> DataFrame:
@@ -115,12 +115,12 @@ def earlier_copies(places: DataFrame) -> DataFrame:
             active = _refined(active, levels[k], 2**k)
         # the first places of the parts of each group of 2^k lines; if it has but one, nothing is left to tell
         first = levels[k].join(levels[k + 1].where("name <> place").select("place"), "place", "left_anti")
-        apart = materialize(first.where("place <> name").select("name").distinct(), "apart")
+        apart = compact(first.where("place <> name").select("name").distinct(), "apart")
         group = first.join(apart, "name", "left_semi").select(F.lit(2**k).cast("long").alias("cur"), F.col("name").alias("head"), "place", "left")
         active = group if active is None else active.unionByName(group)
     if active is None:
         return places.select("place", F.lit(0).cast("long").alias("best"), F.col("place").alias("source")).limit(0)
-    return materialize(active.where("place <> head").select("place", F.col("cur").alias("best"), F.col("head").alias("source")), "copies")
+    return compact(active.where("place <> head").select("place", F.col("cur").alias("best"), F.col("head").alias("source")), "copies")
 
 
 def copied_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,7 +132,7 @@ def copied_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     places = placed_lines(docs, id_col, text_col)
     copies = earlier_copies(places)
     of = places.select(F.col("place").alias("source"), F.col("doc").alias("source_doc"), F.col("at").alias("source_at"))
-    named = materialize(copies.join(of, "source").select("place", "best", "source_doc", "source_at"), "sources")
+    named = compact(copies.join(of, "source").select("place", "best", "source_doc", "source_at"), "sources")
     hit = places.select("place", "k1", "k2", "at").join(named, "place")
     run = F.struct(F.col("at").alias("first"), F.col("best").cast("int").alias("lines"), F.col("source_doc").alias("source"), F.col("source_at").alias("source_first"))
     runs = hit.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(run)).alias("x"))
@@ -162,7 +162,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source of the longest maximal run among them. Documents that lose nothing are untouched
     to the byte; others lose whole lines with their line ends.
     """
-    runs = materialize(copied_runs(docs, id_col, text_col), "runs").toDF("_line_k1", "_line_k2", "_line_runs")
+    runs = compact(copied_runs(docs, id_col, text_col), "runs").toDF("_line_k1", "_line_k2", "_line_runs")
     carried = [c for c in docs.columns if c not in ADDED and not c.startswith("_line_")]
     marked = docs.select(*carried, *[c.alias(f"_line_doc_{n}") for n, c in zip(("k1", "k2"), _keys(id_col, text_col), strict=True)])
     both = marked.join(runs, (F.col("_line_doc_k1") == F.col("_line_k1")) & (F.col("_line_doc_k2") == F.col("_line_k2")), "left")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lumenspar.components import connected_components
 from lumenspar.llm.hashing import mix, shingle_sets
-from lumenspar.work import materialize
+from lumenspar.work import compact
 
 BANDS, ROWS = 48, 6
 #: A block of a bucket: so many shingles and so many rows at most, about.
@@ -116,7 +116,7 @@ def _fetched(nodes: DataFrame, wanted: DataFrame, texts: DataFrame, width: int)
     """
     wanted = nodes.join(wanted, "node", "left_semi").select("node", "rep", "cls")
     found = texts.join(wanted.hint("merge"), texts.doc_id.eqNullSafe(wanted.rep)).select("node", "cls", "text")
-    return materialize(found.mapInArrow(_sets(width), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    return compact(found.mapInArrow(_sets(width), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
 
 
 def _agreements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +142,7 @@ def _star_links(company: DataFrame, nodes: DataFrame, sets: DataFrame, needed: i
     of_a, of_b = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"of_{c}")) for c in "ab")
     pairs = star.join(of_b, "b").join(of_a, "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     close = pairs.select("a", "b", "of_a", "of_b").mapInArrow(_agreements, "a long, b long, agree int").where(F.col("agree") >= needed)
-    best = materialize(close.groupBy("b").agg(F.min_by("a", F.struct(-F.col("agree"), "a")).alias("a")), "star")
+    best = compact(close.groupBy("b").agg(F.min_by("a", F.struct(-F.col("agree"), "a")).alias("a")), "star")
     set_a, set_b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
     both = best.join(set_b, "b").join(set_a, "a")
     common, size = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
@@ -244,12 +244,12 @@ def _mixed_links(company: DataFrame, nodes: DataFrame, labels: DataFrame, sets:
     one bounded piece of work. So no task holds a whole bucket and no pair is a row.
     """
     labelled = company.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    labelled = materialize(labelled.join(nodes.select("node", "n"), "node"), "labelled")
+    labelled = compact(labelled.join(nodes.select("node", "n"), "node"), "labelled")
     each = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("size"))
     blocks = lambda rows, size: F.greatest(F.ceil(size / BLOCK_SHINGLES), F.ceil(rows / BLOCK_ROWS)).cast("int")
     most = F.max(F.struct("rows", "label", "size"))
     mixed = each.groupBy("bucket").agg(most.alias("most"), F.sum("rows").alias("rows"), F.sum("size").alias("size")).where("rows > most.rows")
-    mixed = materialize(
+    mixed = compact(
         mixed.select(
             "bucket", F.col("most.label").alias("common"), blocks(F.col("rows") - F.col("most.rows"), F.col("size") - F.col("most.size")).alias("few"),
             blocks(F.col("most.rows"), F.col("most.size")).alias("many"),
@@ -266,7 +266,7 @@ def _mixed_links(company: DataFrame, nodes: DataFrame, labels: DataFrame, sets:
     dealt = lambda df: df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     schema = "bucket long, i int, j int, node long, label long, part int, n long, sketch binary"
     met = dealt(pieces.join(nodes.select("node", "sketch"), "node"))
-    wanted = materialize(met.mapInArrow(_screened(n_rows, needed, percent), schema), "screened")
+    wanted = compact(met.mapInArrow(_screened(n_rows, needed, percent), schema), "screened")
     full = dealt(wanted.join(sets, "node"))
     return full.mapInArrow(_confirmed(n_rows, needed, percent), "a long, b long").distinct()
 
@@ -278,28 +278,28 @@ def near_duplicates(
     needed = agreement_needed(n_bands * n_rows, percent)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    drawn = materialize(texts.mapInArrow(_sketches(width, n_bands * n_rows), f"doc_id {kind}, n_shingles long, cls binary, sketch binary"), "sketches")
+    drawn = compact(texts.mapInArrow(_sketches(width, n_bands * n_rows), f"doc_id {kind}, n_shingles long, cls binary, sketch binary"), "sketches")
     classes = drawn.where("cls is not null").groupBy("cls").agg(
         F.min("n_shingles").alias("n"), F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")
     )
-    nodes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
+    nodes = compact(classes.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
     in_bucket = nodes.select("node", F.explode(_buckets(n_bands, n_rows)).alias("bucket"))
     shared = in_bucket.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # written first, so that the join back is a plain one, whose hot buckets Spark splits
-    shared = materialize(shared.select("bucket", "pivot"), "shared")
-    company = materialize(in_bucket.join(shared, "bucket"), "buckets")
+    shared = compact(shared.select("bucket", "pivot"), "shared")
+    company = compact(in_bucket.join(shared, "bucket"), "buckets")
     sets = _fetched(nodes, company.select("node").distinct(), texts, width)
-    links = materialize(_star_links(company, nodes, sets, needed, percent), "links")
-    labels = materialize(connected_components(links.toDF("src", "dst")), "labels")
+    links = compact(_star_links(company, nodes, sets, needed, percent), "links")
+    labels = compact(connected_components(links.toDF("src", "dst")), "labels")
 
     # what shares a bucket but no component yet has to meet as well
     late = _mixed_links(company, nodes, labels, sets, n_rows, needed, percent)
-    links = links.unionByName(materialize(late, "links"))
+    links = links.unionByName(compact(late, "links"))
     labels = connected_components(links.toDF("src", "dst"))
 
     member = nodes.select("node", "cls", "rep").join(labels, "node", "left").select("cls", "rep", F.coalesce("label", "node").alias("label"))
-    smallest = materialize(member.groupBy("label").agg(F.min("rep").alias("component_id")), "components")
-    verdict = materialize(member.join(smallest, "label").select("cls", "component_id"), "verdicts")
+    smallest = compact(member.groupBy("label").agg(F.min("rep").alias("component_id")), "components")
+    verdict = compact(member.join(smallest, "label").select("cls", "component_id"), "verdicts")
     out = drawn.select("doc_id", "n_shingles", "cls").join(verdict, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -29,7 +29,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspar.work import materialize
+from lumenspar.work import compact
 
 #: Different labelled texts to fit on, and their bytes, about; both bound the sample, the features
 #: and what the fit holds. Longer texts are judged like any other, but are no examples.
@@ -161,10 +161,10 @@ def sample_labels(
     usable = one_label_each(labels)
     some = usable.where(share("labelled", 1, min(1.0, max_train / max(1, usable.count()))))
     # written, so that its size is known when the join is planned
-    some = materialize(some, "labels")
+    some = compact(some, "labels")
     joined = docs.join(some, docs.doc_id == some.labelled).select(F.coalesce("text", F.lit("")).alias("text"), "low", "toxic")
     found = joined.where(F.octet_length("text") <= max_example).groupBy("text").agg(F.max("low").alias("low"), F.max("toxic").alias("toxic"))
-    found = materialize(found, "labelled")
+    found = compact(found, "labelled")
     there = found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     return found.where(share("text", 2, min(1.0, max_train / max(1, there.n), max_bytes / max(1, there.bytes or 0))))
 
@@ -179,7 +179,7 @@ def one_label_each(labels: DataFrame) -> DataFrame:
 
 def train(sample: DataFrame) -> dict:
     """{trait: (weights by feature, intercept, base log odds)} from ``sample(text, low, toxic)``."""
-    sample = materialize(sample.select("text", "low", "toxic"), "labelled")
+    sample = compact(sample.select("text", "low", "toxic"), "labelled")
     totals = sample.agg(*[f(t).alias(f"{n}_{t}") for t in TRAITS for n, f in (("n", F.count), ("bad", F.sum))]).first()
     usable = [t for t in TRAITS if totals[f"bad_{t}"] and totals[f"bad_{t}"] < totals[f"n_{t}"]]
     if not usable:
@@ -252,7 +252,7 @@ def site_sums(counted: DataFrame) -> tuple[DataFrame, dict]:
     """
     sums = ("n", *[f"c_{t}" for t in TRAITS])
     paths = counted.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(c) for c in sums[1:]])
-    paths = materialize(paths, "sites")
+    paths = compact(paths, "sites")
     hosts = paths.groupBy("host").agg(*[F.sum(c).alias(f"h_{c}") for c in sums])
     whole = hosts.agg(*[F.sum(f"h_{c}").alias(c) for c in sums]).first().asDict()
     n_all = whole["n"] or 1.0
@@ -283,13 +283,13 @@ def classify(
     )
     model = train(sample_labels(narrow, labels, max_train)) if model is None else model
     base = {t: model[t][2] if t in model else -40.0 for t in TRAITS}
-    scored = materialize(evidence(narrow, model, ("doc_id", "host", "path", *carry)), "evidence")
-    known = materialize(one_label_each(labels).withColumnsRenamed({t: f"is_{t}" for t in TRAITS}), "labels")
+    scored = compact(evidence(narrow, model, ("doc_id", "host", "path", *carry)), "evidence")
+    known = compact(one_label_each(labels).withColumnsRenamed({t: f"is_{t}" for t in TRAITS}), "labels")
     chance = lambda odds: 1 / (1 + F.exp(-odds))
     counts = [(F.coalesce(f"is_{t}", chance(F.col(t) + base[t])) if t in model else F.lit(0.0)).alias(f"c_{t}") for t in TRAITS]
-    counted = materialize(scored.join(known, scored.doc_id == known.labelled, "left").select(*scored.columns, *counts), "counted")
+    counted = compact(scored.join(known, scored.doc_id == known.labelled, "left").select(*scored.columns, *counts), "counted")
     sites, prior = site_sums(counted)
-    both = counted.join(materialize(sites, "sites"), F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path")), "left")
+    both = counted.join(compact(sites, "sites"), F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path")), "left")
     for t in TRAITS:
         others, own = float(prior["whole"]["n"] or 0.0) - 1, F.col(f"c_{t}")
         rate = (F.lit(prior["whole"][f"c_{t}"] or 0.0) - own) / others if others > 0 else F.lit(float(1 / (1 + np.exp(-base[t]))))

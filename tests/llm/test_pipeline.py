@@ -1,11 +1,12 @@
 """Stages of the pipeline against what the operators say, on its own input each."""
 
+import glob
 import re
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from lumenspar.work import materialize
+from lumenspar.work import materialize, shared_dir
 from tests.conftest import SF
 
 
@@ -101,3 +102,22 @@ def test_repeated_ids_are_told_apart(spark):
     same = docs.withColumn("doc_id", F.lit(7).cast("long"))
     left = P.without_benchmark(spark, same, SF)
     assert left.count() >= 50
+
+
+def test_stages_write_few_files(spark):
+    # each file is a process on a plain file system, so many small partitions must not be as many files
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for name in ("quality_classifier", "line_dedup"):
+            stage = dict(P.STAGES)[name]
+            made = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/lumenspar/*/*"))
+            assert len(materialize(stage(spark, docs, SF)).inputFiles()) <= 4 * spark.sparkContext.defaultParallelism
+            new = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/lumenspar/*/*")) - made
+            assert new and all(len(glob.glob(f"{f}/part-*")) <= 4 * spark.sparkContext.defaultParallelism for f in new)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
