@@ -209,6 +209,21 @@ def test_passages_do_not_depend_on_the_layout(spark):
     assert dealt == key(substring_dedup.repeated_passages(docs.coalesce(1)))
 
 
+def test_passages_whose_seeds_stand_in_documents_between(spark):
+    # 12 pairs of texts share 80 words but for every eleventh; a crowd of others, in runs of 20, holds the source's words
+    lost = {}
+    rows = []
+    for n in range(12):
+        source = [f"w{n}x{i}" for i in range(80)]
+        copy = [f"e{n}x{i}" if i % 11 == 10 else w for i, w in enumerate(source)]
+        rows += [(100 * n, " ".join(source)), (100 * n + 1, " ".join(copy))]
+        rows += [(100 * n + 2 + k, f"z{n}x{k} " + " ".join(copy[at : at + 20])) for k, at in enumerate(at for at in range(0, 80, 10) for _ in range(8))]
+        lost[n] = {100 * n, 100 * n + 1}
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), whole=True).collect()
+    pairs = [{r.doc_id, r.source_doc_id} for r in found]
+    assert all(x in pairs for x in lost.values())
+
+
 def test_neighbours_across_batches_and_tasks():
     rng = np.random.default_rng(8)
     rows = sorted({(int(s), int(n), 2 * int(p)) for s, n, p in rng.integers(0, (6, 9, 500), (400, 3))})
