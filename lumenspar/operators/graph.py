@@ -138,12 +138,13 @@ def clusters(edges: DataFrame, min_size: int = 3, max_clusters: int = 32, max_no
 
 
 def light_cone_tree(points: DataFrame, max_children: int | None = None) -> DataFrame:
-    """(id, parent, distance): the nearest point nearer to the origin (Lorentz coordinates)."""
-    a = points.select(F.col("id"), F.col("vector").alias("v"), F.element_at("vector", 1).alias("t"))
-    b = points.select(F.col("id").alias("parent"), F.col("vector").alias("w"), F.element_at("vector", 1).alias("s"))
-    pairs = a.join(b, F.col("s") < F.col("t")).withColumn("distance", METRICS["lorentz"](F.col("v"), F.col("w")))
-    best = F.min_by(F.struct("parent", "distance"), F.struct(F.round("distance", 9), F.col("parent")))
-    return pairs.groupBy("id").agg(best.alias("x")).select("id", "x.parent", "x.distance")
+    """(id, parent, distance): the nearest point nearer to the origin (Lorentz coordinates).
+
+    Blocks of points meet as in the batch search, so a pair of points is never a row.
+    """
+    there = points.where(F.col("vector").isNotNull())
+    found = batch_search(there, there, 1, "lorentz", earlier=True)
+    return found.select(F.col("query_id").alias("id"), F.col("id").alias("parent"), "distance")
 
 
 def hops(edges: DataFrame, a: int, b: int, max_depth: int = 6) -> int | None:

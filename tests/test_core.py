@@ -344,3 +344,16 @@ def test_a_batch_that_comes_twice_merges_once(spark):
     assert found == {(1, 4, "a3"), (2, 1, "b"), (3, 1, "c")}
     left = spark.read.parquet(path).groupBy("b").agg(F.countDistinct("v").alias("n")).collect()
     assert all(r.n <= 2 for r in left)
+
+
+def test_the_light_cone_tree_makes_no_pair_a_row(spark, monkeypatch):
+    points = X.points(spark, SF, "lorentz")
+    plan = G.light_cone_tree(points)._jdf.queryExecution().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    v = {r.id: np.array(r.vector) for r in points.collect()}
+    far = lambda a, b: round(math.acosh(max(a[0] * b[0] - a[1:] @ b[1:], 1 + 1e-12)), 9)
+    want = {i: min((far(a, b), j) for j, b in v.items() if b[0] < a[0])[1] for i, a in v.items() if any(b[0] < a[0] for b in v.values())}
+    assert {r.id: r.parent for r in G.light_cone_tree(points).collect()} == want
+    for name, rows in (("QUERY_BLOCK", 40), ("POINT_BLOCK", 30), ("TILE_POINTS", 8), ("TILE_QUERIES", 8)):
+        monkeypatch.setattr(S, name, rows)
+    assert {r.id: r.parent for r in G.light_cone_tree(points).collect()} == want
