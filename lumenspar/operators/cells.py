@@ -73,14 +73,66 @@ def probes_needed(v: np.ndarray, centroids: np.ndarray, metric: str, k: int, rec
     return int(found[min(len(found) - 1, int(np.ceil(recall * len(found))))]) + 1 if len(found) else 1
 
 
-def _nearest(centroids: np.ndarray, metric: str, n: int) -> Callable:
+#: Cells that queries of a tile probe, all together, about; scores of a tile.
+PROBES, SCORES = 131_072, 1 << 20
+
+
+def _nearest(centroids: np.ndarray, metric: str) -> Callable:
+    """Each point with the cell of its nearest centroid."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, SCORES // len(centroids))
         for batch in batches:
             if batch.num_rows:
-                ids, v = S.rows_of(batch)
+                _, v = S.rows_of(batch)
+                cell = np.concatenate([_far(_space(v[at : at + step], metric), centroids).argmin(1) for at in range(0, len(v), step)])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array(cell.astype(np.int32))], names=["id", "vector", "cell"])
+
+    return run
+
+
+def _probes(centroids: np.ndarray, metric: str, n: int, block: np.ndarray) -> Callable:
+    """Each query once for a block of cells of which it probes some, with these; ``block`` has the block of each cell, -1 for empty ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, min(PROBES // n, SCORES // len(centroids)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                _, v = S.rows_of(some)
                 cells = np.argsort(_far(_space(v, metric), centroids), axis=1, kind="stable")[:, :n]
-                take = pa.array(np.repeat(np.arange(len(ids)), cells.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("vector").take(take), pa.array(cells.ravel().astype(np.int32))], names=["id", "vector", "cell"])
+                row, cell = np.repeat(np.arange(len(v)), cells.shape[1]), cells.ravel()
+                row, cell = row[block[cell] >= 0], cell[block[cell] >= 0]
+                order = np.lexsort((cell, block[cell], row))
+                row, cell = row[order], cell[order]
+                first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[cell[1:]] != block[cell[:-1]])][: len(row)])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), pa.array(cell.astype(np.int32)))
+                take = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays([some.column("id").take(take), some.column("vector").take(take), pa.array(block[cell[first]].astype(np.int32)), lists], names=["id", "vector", "block", "cells"])
+
+    return run
+
+
+def _meet(k: int, metric: str) -> Callable:
+    """The k nearest points for the queries of a block, of the points in the cells that each probes."""
+
+    def run(queries: pa.Table, points: pa.Table) -> pa.Table:
+        if not queries.num_rows or not points.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names=S.FOUND_NAMES)
+        top = S._Top(*S.rows_of(queries), k, metric)
+        lists = queries.column("cells").combine_chunks()
+        wanted, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        order = np.lexsort((row, wanted))
+        wanted, row = wanted[order], row[order]
+        ids, vectors = S.rows_of(points)
+        cell = points.column("cell").to_numpy()
+        order = np.argsort(cell, kind="stable")
+        for c in np.unique(cell):
+            asked = row[np.searchsorted(wanted, c) : np.searchsorted(wanted, c, "right")]
+            if len(asked):
+                here = order[np.searchsorted(cell, c, sorter=order) : np.searchsorted(cell, c, "right", sorter=order)]
+                top.add(ids[here], vectors[here], asked)
+        return pa.table(top.columns(), names=S.FOUND_NAMES)
 
     return run
 
@@ -95,7 +147,7 @@ def build(points: DataFrame, metric: str = "l2", cells: int | None = None, sampl
         return CellIndex(narrow.withColumn("cell", F.lit(0)), np.zeros((1, 0)), {}, metric, 1)
     v = np.array([r.vector for r in rows], float)
     centroids = fit_centroids(_space(v, metric), cells or max(1, min(MAX_CELLS, int(n**0.5))))
-    put = narrow.mapInArrow(_nearest(centroids, metric, 1), f"{_NARROW}, cell int")
+    put = narrow.mapInArrow(_nearest(centroids, metric), f"{_NARROW}, cell int")
     stored = materialize(put.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id"), "cells")
     sizes = {r.cell: r.n for r in stored.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cell
     return CellIndex(stored, centroids, sizes, metric, probes_needed(v, centroids, metric, k, recall))
@@ -104,8 +156,10 @@ def build(points: DataFrame, metric: str = "l2", cells: int | None = None, sampl
 def cell_search(index: CellIndex, queries: DataFrame, k: int, probes: int | None = None, exclude_self: bool = False) -> DataFrame:
     """(query_id, id, distance, rank) of each query's k nearest points in the cells it probes.
 
-    A cell's points and the queries that probe it meet in blocks of bounded size, so
-    neither a crowded cell nor one that all queries want is one task.
+    Cells that follow each other make a block of bounded size. A query goes once to a block
+    of which it probes cells, and is not repeated for each of them. Blocks of points and of
+    queries that are too large are split by hash, so neither a crowded cell nor one that all
+    queries want is one task.
     """
     some = k + 1 if exclude_self else k
     spark = index.points.sparkSession
@@ -113,16 +167,22 @@ def cell_search(index: CellIndex, queries: DataFrame, k: int, probes: int | None
     narrow = queries.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
     if not index.sizes:
         return spark.createDataFrame([], "query_id long, id long, distance double, rank int")
-    probing = materialize(narrow.mapInArrow(_nearest(index.centroids, index.metric, n), f"{_NARROW}, cell int"), "probes")
-    asked = {r.cell: r.n for r in probing.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cell
-    blocks = [(c, -(-index.sizes[c] // S.POINT_BLOCK), -(-m // S.QUERY_BLOCK)) for c, m in asked.items() if c in index.sizes]
-    # as many rows as cells
-    split = F.broadcast(spark.createDataFrame(blocks, "cell int, over int, down int"))
+    sizes = np.array([index.sizes.get(c, 0) for c in range(len(index.centroids))])
+    room = max(1, min(S.POINT_BLOCK, max(2048, -(-int(sizes.sum()) // (4 * spark.sparkContext.defaultParallelism)))))
+    block = np.where(sizes > 0, (np.cumsum(sizes) - sizes) // room, -1)
+    within = np.bincount(block[block >= 0], sizes[block >= 0])
+    probing = materialize(narrow.mapInArrow(_probes(index.centroids, index.metric, n, block), f"{_NARROW}, block int, cells array<int>"), "probes")
+    asked = {r.block: r.n for r in probing.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a block
+    blocks = [(b, -(-int(within[b]) // S.POINT_BLOCK), -(-m // S.QUERY_BLOCK)) for b, m in asked.items()]
+    # as many rows as blocks and cells
+    split = F.broadcast(spark.createDataFrame(blocks, "block int, over int, down int"))
+    there = [(c, int(block[c])) for c in index.sizes if int(block[c]) in asked]
+    of = F.broadcast(spark.createDataFrame(there, "cell int, block int"))
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    q = probing.join(split, "cell").select("id", "vector", "cell", F.pmod(F.xxhash64("id"), F.col("down")).cast("int").alias("j"), each("over").alias("i"))
-    wanted = index.points.where(F.col("cell").isin([b[0] for b in blocks]))
-    p = wanted.join(split, "cell").select("id", "vector", "cell", F.pmod(F.xxhash64("id", F.lit(7)), F.col("over")).cast("int").alias("i"), each("down").alias("j"))
-    found = q.groupBy("cell", "i", "j").cogroup(p.groupBy("cell", "i", "j")).applyInArrow(S.meet(some, index.metric), S.FOUND)
+    q = probing.join(split, "block").select("id", "vector", "cells", "block", F.pmod(F.xxhash64("id"), F.col("down")).cast("int").alias("j"), each("over").alias("i"))
+    wanted = index.points.where(F.col("cell").isin([c for c, _ in there])).join(of, "cell").join(split, "block")
+    p = wanted.select("id", "vector", "cell", "block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("over")).cast("int").alias("i"), each("down").alias("j"))
+    found = q.groupBy("block", "i", "j").cogroup(p.groupBy("block", "i", "j")).applyInArrow(_meet(some, index.metric), S.FOUND)
     if exclude_self:
         found = found.where("query_id <> id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 9), "id"))
