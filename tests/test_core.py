@@ -5,10 +5,12 @@ import math
 import os
 import subprocess
 import sys
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -357,3 +359,55 @@ def test_the_light_cone_tree_makes_no_pair_a_row(spark, monkeypatch):
     for name, rows in (("QUERY_BLOCK", 40), ("POINT_BLOCK", 30), ("TILE_POINTS", 8), ("TILE_QUERIES", 8)):
         monkeypatch.setattr(S, name, rows)
     assert {r.id: r.parent for r in G.light_cone_tree(points).collect()} == want
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "poincare", "lorentz", "hybrid"])
+def test_a_block_is_searched_by_tiles(metric):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(6000, 65))
+    v *= rng.uniform(0.2, 0.9, (6000, 1)) / np.linalg.norm(v, axis=1, keepdims=True)
+    if metric in ("lorentz", "hybrid"):
+        v[:, 0] = np.sqrt(1 + (v[:, 1 : 65 if metric == "lorentz" else 33] ** 2).sum(1))
+    v[rng.random(6000) < 0.3] = v[17]
+    ids = rng.permutation(6000)
+    measure, shown = S.pair_distances(metric), S.unit(v) if metric == "cosine" else v
+    tracemalloc.start()
+    top = S._Top(ids[:2000], v[:2000], 11, metric)
+    top.add(ids, v)
+    query, found, _ = (c.to_numpy() for c in top.columns())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 90e6  # all at once: 2,000 x 6,000 distances and their copies, 300 MB
+    for at in range(0, 2000, 50):
+        d = np.round(measure(np.broadcast_to(shown[at], shown.shape), shown), 9)
+        assert found[query == ids[at]].tolist() == ids[np.lexsort((ids, d))[:11]].tolist()
+
+
+def test_scores_that_single_precision_cannot_hold_are_measured():
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(500, 3)) * 10.0 ** rng.integers(-30, 40, (500, 1))
+    v[:9, 1] = np.nan, np.inf, -np.inf, 1e300, 1e-300, 0, 1e20, 1e-20, 1
+    with np.errstate(all="ignore"):
+        top = S._Top(np.arange(500), v, 3, "l2")
+        top.add(np.arange(500), v)
+        query, found, _ = (c.to_numpy() for c in top.columns())
+        for i in range(500):
+            d = np.round(((v - v[i]) ** 2).sum(1), 9)
+            d[np.isnan(d)] = np.inf
+            assert found[query == i].tolist() == np.lexsort((np.arange(500), d))[:3].tolist()
+
+
+def test_queries_that_probe_many_cells_are_not_repeated_for_each(spark):
+    rng = np.random.default_rng(6)
+    centroids, v = rng.normal(size=(400, 8)), rng.normal(size=(900, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(900)), pa.array(v.tolist())], names=["id", "vector"])
+    block = np.where(np.arange(400) % 100 == 7, -1, np.arange(400) // 40)
+    out = list(cells._probes(centroids, "l2", 300, block)([batch]))
+    assert sum(b.num_rows for b in out) <= 900 * 10 and max(sum(map(len, b.column("cells").to_pylist())) for b in out) <= cells.PROBES
+    got = {}
+    for b in out:
+        for i, at, some in zip(b.column("id").to_pylist(), b.column("block").to_pylist(), b.column("cells").to_pylist(), strict=True):
+            assert (block[some] == at).all()
+            got.setdefault(i, set()).update(some)
+    far = ((v[:, None, :] - centroids) ** 2).sum(2)
+    assert all(got[i] == {c for c in np.argsort(far[i])[:300] if block[c] >= 0} for i in range(900))
