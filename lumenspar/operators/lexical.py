@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import os
 import zipfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenspar.functions.vectors import let
+from lumenspar.operators.search import first_of_rows
 from lumenspar.operators.stems import STEMMERS
 from lumenspar.work import materialize
 
@@ -173,14 +177,25 @@ class LexicalIndex:
     postings: DataFrame
     lengths: DataFrame
     df: DataFrame
+    words: DataFrame | None = None  # (id, dl, tokens) of an index of some terms
 
 
-def build_index(docs: DataFrame, id_col: str, token_col: Column) -> LexicalIndex:
-    words = docs.select(F.col(id_col).alias("id"), token_col.alias("tokens"))
-    lengths = words.select("id", F.size("tokens").cast("long").alias("dl"))
-    each = words.select("id", F.explode("tokens").alias("term"))
+def build_index(docs: DataFrame, id_col: str, token_col: Column, terms: Sequence[str] | None = None) -> LexicalIndex:
+    """The index of all terms, or of some: then only these have postings, and the texts are read once for all tables.
+
+    Documents, not postings, are dealt by id, as these are fewer bytes; what one holds is then counted where it lies.
+    """
+    if terms is not None:
+        kept = F.filter("tokens", lambda t: t.isin(*dict.fromkeys(terms)))
+        words = docs.select(F.col(id_col).alias("id"), token_col.alias("tokens")).select("id", F.size("tokens").cast("long").alias("dl"), kept.alias("tokens"))
+        words = materialize(words, "words")
+    else:
+        words = docs.repartition(id_col).select(F.col(id_col).alias("id"), token_col.alias("tokens"))
+    lengths = words.select("id", "dl") if terms is not None else docs.select(F.col(id_col).alias("id"), F.size(token_col).cast("long").alias("dl"))
+    # explode itself has Spark ask for the size first, and so tokenize twice
+    each = words.select("id", F.explode_outer("tokens").alias("term")).where("term is not null")
     postings = each.groupBy("term", "id").agg(F.least(F.count(F.lit(1)), F.lit(65535)).alias("tf"))
-    return LexicalIndex(postings, lengths, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    return LexicalIndex(postings, lengths, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), words if terms is not None else None)
 
 
 def upsert(index: LexicalIndex, docs: DataFrame, id_col: str, token_col: Column) -> LexicalIndex:
@@ -199,10 +214,17 @@ def upsert(index: LexicalIndex, docs: DataFrame, id_col: str, token_col: Column)
 
 
 def store_index(index: LexicalIndex, path: str) -> LexicalIndex:
-    """Writes the index as tables, postings sorted by term, and returns it as it reads from there."""
-    for name, frame in (("postings", index.postings.repartitionByRange("term").sortWithinPartitions("term", "id")), ("lengths", index.lengths), ("df", index.df)):
-        frame.write.mode("overwrite").parquet(f"{path}/{name}")
-    return load_index(index.postings.sparkSession, path)
+    """Writes the index as tables, postings sorted by term, and returns it as it reads from there.
+
+    Postings are made once: sorting them by range and counting the documents of a term read what is written.
+    """
+    spark = index.postings.sparkSession
+    made = materialize(index.postings, "postings")
+    made.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    stored = spark.read.schema(made.schema).parquet(f"{path}/postings")
+    stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{path}/df")
+    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    return load_index(spark, path)
 
 
 def load_index(spark: SparkSession, path: str) -> LexicalIndex:
@@ -214,6 +236,13 @@ def corpus_stats(index: LexicalIndex) -> DataFrame:
     return index.lengths.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
 
 
+def corpus_summary(docs: DataFrame, token_col: Column) -> DataFrame:
+    """One row: n documents, their mean length, at least 1, and how many different terms they have; one pass over the texts."""
+    counts = docs.select(F.explode_outer(token_col).alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    both = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.count(F.lit(1)).alias("terms")))
+    return both.select("n", F.greatest(F.try_divide("all", "n").cast("double"), F.lit(1.0)).alias("avgdl"), "terms")
+
+
 def idf(method: str, n: Column, df: Column) -> Column:
     return {
         "robertson": lambda: F.ln((n - df + 0.5) / (df + 0.5)),
@@ -324,6 +353,71 @@ def benchmark_scores(index: LexicalIndex, queries: DataFrame, k1: float = 1.5, b
     return found.groupBy("query_id", "id").agg(F.sum(score).alias("score"))
 
 
+def benchmark_top(docs: DataFrame, id_col: str, token_col: Column, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score, rank) of each query's k best documents, by ``benchmark_scores`` to 6 digits and id.
+
+    The texts are read once; of each the terms that queries have are kept. Then a task scores its
+    documents for all queries, some at a time, and keeps k a query, so that a pair of query and
+    document is no row. Ids are keys. The queries' terms are on the driver.
+    """
+    wanted = queries.where(F.col("term").isNotNull()).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")).orderBy("term", "query_id").collect()
+    spark = docs.sparkSession
+    if not wanted:
+        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
+    terms = sorted({r.term for r in wanted})
+    index = build_index(docs, id_col, token_col, terms)
+    stats = corpus_stats(index).first()
+    df = {r.term: r.df for r in index.words.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
+    weight = np.array([np.log(1 + (stats.n - df[t] + 0.5) / (df[t] + 0.5)) * (k1 + 1) if t in df else 0.0 for t in terms])
+    ids = np.array(sorted({r.query_id for r in wanted}), np.int64)
+    place = {t: i for i, t in enumerate(terms)}
+    term, query = np.array([place[r.term] for r in wanted]), np.searchsorted(ids, [r.query_id for r in wanted])
+    order = np.lexsort((query, term))
+    run = _scores(terms, weight, term[order], query[order], np.array([r.times for r in wanted], float)[order], ids, float(stats.avgdl), k, k1, b)
+    found = index.words.select(F.col("id").cast("long").alias("id"), "dl", "tokens").mapInArrow(run, "query_id long, id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+#: Pairs of document and query that are scored at once.
+SCORED = 1 << 20
+
+
+def _scores(terms: list[str], weight: np.ndarray, term: np.ndarray, query: np.ndarray, times: np.ndarray, query_ids: np.ndarray, avgdl: float, k: int, k1: float, b: float) -> Callable:
+    """The k best documents of a task for each query; ``term``, ``query`` and ``times`` are what queries have, in order of terms."""
+    n, n_terms = len(query_ids), len(terms)
+    start = np.searchsorted(term, np.arange(n_terms))
+    many = np.searchsorted(term, np.arange(n_terms), "right") - start
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, step = pa.array(terms), 64
+        best_q, best_i, best_s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        bars = np.zeros(n)
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                some = batch.slice(at, step)
+                at, step = at + step, max(1, SCORED // n)  # the first few set the bars
+                ids, dl = some.column("id").to_numpy(), some.column("dl").to_numpy()
+                doc = np.repeat(np.arange(len(ids)), pc.list_value_length(some.column("tokens")).to_numpy())
+                key, tf = np.unique(doc * n_terms + pc.index_in(some.column("tokens").flatten(), names).to_numpy(), return_counts=True)
+                d, t = np.divmod(key, n_terms)
+                part = weight[t] * tf / (k1 * ((1 - b) + b * dl[d] / avgdl) + tf)
+                each = np.repeat(np.arange(len(key)), many[t])
+                of = np.repeat(start[t], many[t]) + np.arange(len(each)) - np.repeat(np.cumsum(many[t]) - many[t], many[t])
+                total = np.bincount(d[each] * n + query[of], part[each] * times[of], len(ids) * n).reshape(-1, n)
+                i, q = np.nonzero((total > 0) & (total >= bars - 2e-6))
+                if not len(i):
+                    continue
+                best_q, best_i, best_s = np.concatenate((best_q, q)), np.concatenate((best_i, ids[i])), np.concatenate((best_s, total[i, q]))
+                kept, rank = first_of_rows(best_q, -np.round(best_s, 6), best_i, k)
+                best_q, best_i, best_s = best_q[kept], best_i[kept], best_s[kept]
+                bars[best_q[rank == k - 1]] = best_s[rank == k - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[best_q]), pa.array(best_i), pa.array(best_s)], names=["query_id", "id", "score"])
+
+    return run
+
+
 def directed_fusion(vector_hits: DataFrame, text_hits: DataFrame, vector_weight: float = 0.85) -> DataFrame:
     """(query_id, id, score): min-max scores of both lists added up by weight.
 

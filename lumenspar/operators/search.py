@@ -72,7 +72,7 @@ def pair_distances(metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray
     return {"l2": l2, "euclidean": l2, "cosine": l2, "poincare": poincare, "lorentz": lorentz, "hybrid": hybrid}[metric]
 
 
-def _first(row: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def first_of_rows(row: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Where the first k entries of each row lie, by distance to 9 digits and id, and their places from nought."""
     order = np.lexsort((ids, np.round(np.where(np.isnan(d), np.inf, d), 9), row))
     place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
@@ -82,7 +82,7 @@ def _first(row: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.
 def smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k smallest of each row, with their ids; distances equal to 9 digits go by id."""
     n, width = d.shape
-    at, _ = _first(np.repeat(np.arange(n), width), d.ravel(), ids.ravel(), k)
+    at, _ = first_of_rows(np.repeat(np.arange(n), width), d.ravel(), ids.ravel(), k)
     return d.ravel()[at].reshape(n, -1), ids.ravel()[at].reshape(n, -1)
 
 
@@ -244,7 +244,7 @@ class _Top:
         old = touched[old]
         row = np.concatenate((old, row))
         d, i = np.concatenate((self.d[part[old], place], d)), np.concatenate((self.i[part[old], place], i))
-        at, place = _first(row, d, i, k)
+        at, place = first_of_rows(row, d, i, k)
         self.d[part[row[at]], place], self.i[part[row[at]], place] = d[at], i[at]
         self.n[part[touched]] = np.bincount(row[at], minlength=len(n))[touched]
 

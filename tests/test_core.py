@@ -24,6 +24,7 @@ from lumenspar.functions import fuzzy, geometry
 from lumenspar.functions import quantize as Q
 from lumenspar.functions.vectors import vec
 from lumenspar.operators import cells
+from lumenspar.operators import lexical as L
 from lumenspar.operators import search as S
 from lumenspar.operators.lexical import _porter, stopwords
 from lumenspar.operators.stems import german, spanish
@@ -411,3 +412,44 @@ def test_queries_that_probe_many_cells_are_not_repeated_for_each(spark):
             got.setdefault(i, set()).update(some)
     far = ((v[:, None, :] - centroids) ** 2).sum(2)
     assert all(got[i] == {c for c in np.argsort(far[i])[:300] if block[c] >= 0} for i in range(900))
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"a b{i % 3} a c{i}") for i in range(60)] + [(60, None), (61, "")], "id long, text string")
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(text):
+        read.add(1)
+        return (text or "").split()
+
+    def reads(run):
+        before = read.value
+        return run(), read.value - before
+
+    scores = lambda index: {r.id: round(r.score, 9) for r in L.bm25(index, ["a", "b1", "none"]).collect()}
+    some, n = reads(lambda: scores(L.build_index(docs, "id", words("text"), ["a", "b1", "none"])))
+    assert n == 62 and len(some) == 60
+    stored, n = reads(lambda: L.store_index(L.build_index(docs, "id", words("text")), f"file://{tmp_path}/index"))
+    assert n == 124 and scores(stored) == some  # once for postings, once for lengths
+    assert {r.term: r.df for r in stored.df.collect()} == {"a": 60} | {f"b{i}": 20 for i in range(3)} | {f"c{i}": 1 for i in range(60)}
+    summary, n = reads(lambda: L.corpus_summary(docs, words("text")).first())
+    assert n == 62 and tuple(summary) == (62, 240 / 62, 64)
+    assert tuple(L.corpus_summary(docs.limit(0), words("text")).first()) == (0, 1.0, 0)
+    queries = spark.createDataFrame([(1, "a"), (1, "a"), (1, "c7"), (2, "b2"), (2, "zz"), (3, "zz")], "query_id long, term string")
+    top, n = reads(lambda: L.benchmark_top(docs, "id", words("text"), queries, 4).collect())
+    assert n == 62
+    every = L.benchmark_scores(stored, queries).collect()
+    want = {(q, i): s for q in (1, 2) for s, i in sorted(((r.score, -r.id) for r in every if r.query_id == q), key=lambda x: (-round(x[0], 6), -x[1]))[:4]}
+    assert {(r.query_id, -r.id): pytest.approx(r.score, abs=1e-9) for r in top} == want and len(top) == 8
+
+
+def test_benchmark_scores_by_tiles(spark, monkeypatch):
+    text = L.benchmark_tokens(F.col("text"))
+    docs = X.table(spark, SF, "documents")
+    queries = X.table(spark, SF, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(text).alias("term"))
+    whole = {(r.query_id, r.id, r["rank"]) for r in L.benchmark_top(docs, "doc_id", text, queries, 5).collect()}
+    plan = L.benchmark_top(docs, "doc_id", text, queries, 5)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+    monkeypatch.setattr(L, "SCORED", 40)
+    assert {(r.query_id, r.id, r["rank"]) for r in L.benchmark_top(docs, "doc_id", text, queries, 5).collect()} == whole
