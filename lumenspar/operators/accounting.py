@@ -65,8 +65,22 @@ def esg_report(records: DataFrame, now: int, span: str = "all") -> DataFrame:
 def retrieval_quality(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """One row: recall, MRR and NDCG at k of ranked(query_id, id, rank) against relevant(query_id, id)."""
     hits = ranked.where(F.col("rank") <= k).join(relevant, ["query_id", "id"], "left_semi")
+    return _quality(hits, relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), k)
+
+
+def label_quality(ranked: DataFrame, queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """``retrieval_quality`` where the other points(id, label) of a query's label are relevant to queries(query_id, label).
+
+    They are counted by label, so that a pair of query and relevant point is no row. Queries are points.
+    """
+    hits = ranked.where(F.col("rank") <= k).join(queries, "query_id").join(points, ["id", "label"], "left_semi")
+    per_label = points.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n"))
+    return _quality(hits, queries.join(F.broadcast(per_label), "label").where("n > 0").select("query_id", "n"), k)
+
+
+def _quality(hits: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Of hits(query_id, rank) and wanted(query_id, n), how many points are relevant."""
     per = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
-    wanted = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1.0))
     both = wanted.join(per, "query_id", "left").na.fill(0, ["found", "dcg"])
     return both.agg(

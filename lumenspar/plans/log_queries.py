@@ -120,8 +120,8 @@ def g11_cone(spark: SparkSession, d: str) -> DataFrame:
 r AS (SELECT 1::BIGINT AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN u ON src = id WHERE depth < 6)
 SELECT b AS id, round(coalesce((SELECT exp(-0.4 * min(depth)) FROM r WHERE r.id = b), 0), 6) AS score FROM (VALUES (1::BIGINT), (40), (77)) AS t(b)""")
 def g13(spark: SparkSession, d: str) -> DataFrame:
-    e = _edges(spark, d)
-    return spark.createDataFrame([(b, round(G.evaluate_claim(e, 1, b), 6)) for b in (1, 40, 77)], "id long, score double")
+    claims = G.evaluate_claims(_edges(spark, d), 1, (1, 40, 77))
+    return spark.createDataFrame([(b, round(score, 6)) for b, score in claims.items()], "id long, score double")
 
 
 _TRAJ = f"{X.pts()}, tr AS (SELECT id % 40 AS trajectory, id AS seq, v FROM pts)"
@@ -517,8 +517,7 @@ def m19(spark: SparkSession, d: str) -> DataFrame:
     p = X.points(spark, d)
     q = p.where("id % 20 = 0")
     ranked = S.batch_search(p, q, 10, exclude_self=True)
-    relevant = q.select(F.col("id").alias("query_id"), "label").join(p.select("id", "label"), "label").where("id <> query_id").select("query_id", "id")
-    return A.retrieval_quality(ranked, relevant, 10).select(*[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")], "queries")
+    return A.label_quality(ranked, q.select(F.col("id").alias("query_id"), "label"), p.select("id", "label"), 10).select(*[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")], "queries")
 
 
 @query("s21_cognitive_rerank")
