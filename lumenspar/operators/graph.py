@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from lumenspar.components import connected_components
 from lumenspar.functions.distance import METRICS
 from lumenspar.functions.vectors import norm_sq
-from lumenspar.operators.search import batch_search, distances
+from lumenspar.operators.search import batch_search, pair_distances, unit
 from lumenspar.work import materialize
 
 EDGE_TYPE = {"lorentz": "HIERARCHY", "l2": "SIMILARITY", "euclidean": "SIMILARITY", "cosine": "SIMILARITY"}
@@ -43,25 +44,53 @@ def layered_graph(points: DataFrame, m: int = 16, metric: str = "l2", layers: in
     return out
 
 
-def _diverse(m: int, metric: str, alpha: float, density: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    measure = distances(metric)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["distance", "dst"])
-        vectors = np.stack(rows["vector"].to_numpy()).astype(float)
-        between = measure(vectors, vectors)
-        d = rows["distance"].to_numpy()
-        # a sparse neighbourhood keeps half as many edges
-        most = m // 2 if density and d[:m].mean() > 1.2 else m
-        kept: list[int] = []
-        for i in range(len(rows)):
-            if len(kept) >= most:
-                break
-            if all(alpha * between[i, j] >= d[i] for j in kept):
-                kept.append(i)
-        out = rows.iloc[kept][["src", "dst", "distance"]].copy()
-        out["rank"] = np.arange(1, len(out) + 1)
-        return out
+def _greedy(d: np.ndarray, vectors: np.ndarray, most: int, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], alpha: float) -> list[int]:
+    """Places of a source's edges, in order of distance, that no kept one leads to; at most ``most`` of them are measured against the rest."""
+    kept: list[int] = []
+    free, at = np.ones(len(d), bool), 0
+    while len(kept) < most and at < len(d):
+        at += int(free[at:].argmax())
+        if not free[at]:
+            break
+        kept.append(at)
+        at += 1
+        rest = vectors[at:]
+        free[at:] &= alpha * measure(np.broadcast_to(vectors[at - 1], rest.shape), rest) >= d[at:]
+    return kept
+
+
+def _diverse(m: int, metric: str, alpha: float, density: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows in order of source and distance, with all of a source's in one partition."""
+    measure = pair_distances(metric)
+
+    def pruned(src: np.ndarray, dst: np.ndarray, d: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
+        shown = unit(vectors) if metric == "cosine" else vectors
+        starts = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
+        out, rank = [], []
+        for a, z in zip(starts, np.r_[starts[1:], len(src)], strict=True):
+            # a sparse neighbourhood keeps half as many edges
+            most = m // 2 if density and d[a:z][:m].mean() > 1.2 else m
+            kept = _greedy(d[a:z], shown[a:z], most, measure, alpha)
+            out += [a + i for i in kept]
+            rank += range(1, len(kept) + 1)
+        at = np.array(out, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(src[at]), pa.array(dst[at]), pa.array(d[at]), pa.array(rank, pa.int64())], names=["src", "dst", "distance", "rank"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []  # of the last source, which the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            rows = (*(batch.column(c).to_numpy() for c in ("src", "dst", "distance")), vectors)
+            end = int(np.searchsorted(rows[0], rows[0][-1]))  # sources rise
+            if end or (held and held[-1][0][-1] != rows[0][0]):
+                done = [*held, tuple(c[:end] for c in rows)]
+                yield pruned(*(np.concatenate(c) for c in zip(*done, strict=True)))
+                held = []
+            held.append(tuple(c[end:] for c in rows))
+        if held:
+            yield pruned(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return run
 
@@ -69,15 +98,17 @@ def _diverse(m: int, metric: str, alpha: float, density: bool) -> Callable[[pd.D
 def prune(edges: DataFrame, points: DataFrame, m: int, metric: str = "l2", alpha: float = 1.0, density: bool = False) -> DataFrame:
     """Edges that lead where kept, nearer ones do not (alpha > 1 keeps longer ones too).
 
-    A source's candidates are bounded by the graph's degree, so a group fits a task.
+    A task goes through its sources one after another; of a source that many points lead to,
+    edges are measured against the m kept ones only.
     """
-    rows = edges.join(points.select(F.col("id").alias("dst"), "vector"), "dst").select("src", "dst", "distance", "vector")
-    return rows.groupBy("src").applyInPandas(_diverse(m, metric, alpha, density), "src long, dst long, distance double, rank long")
+    rows = edges.join(points.select(F.col("id").alias("dst"), "vector"), "dst")
+    rows = rows.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("distance").cast("double").alias("distance"), F.col("vector").cast("array<double>").alias("vector"))
+    return rows.repartition("src").sortWithinPartitions("src", "distance", "dst").mapInArrow(_diverse(m, metric, alpha, density), "src long, dst long, distance double, rank long")
 
 
 def build(points: DataFrame, m: int = 16, ef: int = 64, metric: str = "l2", alpha: float = 1.0) -> DataFrame:
     """Candidates, diversity, links both ways, and pruning of what became too many."""
-    one_way = prune(knn_graph(points, ef, metric), points, m, metric, alpha)
+    one_way = materialize(prune(knn_graph(points, ef, metric), points, m, metric, alpha), "links")
     both = one_way.select("src", "dst", "distance").unionByName(one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "distance")).distinct()
     return prune(materialize(both, "links"), points, 2 * m, metric, alpha)
 
@@ -147,28 +178,37 @@ def light_cone_tree(points: DataFrame, max_children: int | None = None) -> DataF
     return found.select(F.col("query_id").alias("id"), F.col("id").alias("parent"), "distance")
 
 
-def hops(edges: DataFrame, a: int, b: int, max_depth: int = 6) -> int | None:
-    """Steps of the shortest undirected path, or None beyond ``max_depth``."""
-    if a == b:
-        return 0
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+def hops_to(edges: DataFrame, a: int, targets: Sequence[int], max_depth: int = 6) -> dict[int, int | None]:
+    """Steps of the shortest undirected paths from a point to others, None beyond ``max_depth``; one search for all."""
+    found: dict[int, int | None] = dict.fromkeys(targets) | ({a: 0} if a in targets else {})
+    if all(n is not None for n in found.values()):
+        return found
+    both = materialize(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
     seen = edges.sparkSession.createDataFrame([(a,)], "id long")
     frontier = seen
     for depth in range(1, max_depth + 1):
         step = both.join(frontier.toDF("src"), "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
         frontier = materialize(step, "hops")
-        if not frontier.where(F.col("id") == b).isEmpty():
-            return depth
-        if frontier.isEmpty():
-            return None
+        left = [b for b, n in found.items() if n is None]
+        found |= {r.id: depth for r in frontier.where(F.col("id").isin(left)).collect()}
+        if all(n is not None for n in found.values()) or frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
-    return None
+    return found
+
+
+def hops(edges: DataFrame, a: int, b: int, max_depth: int = 6) -> int | None:
+    """Steps of the shortest undirected path, or None beyond ``max_depth``."""
+    return hops_to(edges, a, [b], max_depth)[b]
+
+
+def evaluate_claims(edges: DataFrame, a: int, targets: Sequence[int], max_depth: int = 6) -> dict[int, float]:
+    """exp(-0.4 hops) for each target; 1 for the same point, 0 where one is out of reach."""
+    return {b: 0.0 if n is None else float(np.exp(-0.4 * n)) for b, n in hops_to(edges, a, targets, max_depth).items()}
 
 
 def evaluate_claim(edges: DataFrame, a: int, b: int, max_depth: int = 6) -> float:
-    """exp(-0.4 hops); 1 for the same point, 0 where b is out of reach."""
-    n = hops(edges, a, b, max_depth)
-    return 0.0 if n is None else float(np.exp(-0.4 * n))
+    return evaluate_claims(edges, a, [b], max_depth)[b]
 
 
 def trust_scores(steps: DataFrame, metric: str = "l2") -> DataFrame:

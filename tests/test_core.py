@@ -453,3 +453,45 @@ def test_benchmark_scores_by_tiles(spark, monkeypatch):
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
     monkeypatch.setattr(L, "SCORED", 40)
     assert {(r.query_id, r.id, r["rank"]) for r in L.benchmark_top(docs, "doc_id", text, queries, 5).collect()} == whole
+
+
+def test_one_search_finds_all_claims_and_pruning_takes_hubs_in_pieces(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 9)] + [(1, 5)], "src long, dst long")
+    assert G.hops_to(edges, 1, [1, 3, 7, 8, 9, 40], 4) == {1: 0, 3: 2, 7: 3, 8: 4, 9: None, 40: None}
+    assert G.evaluate_claims(edges, 2, [2, 99]) == {2: 1.0, 99: 0.0}
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(3000, 4))
+    v[::2] = v[0]
+    src = np.sort(np.r_[np.zeros(2999, int), rng.integers(1, 40, 500), np.full(700, 41)])
+    dst = rng.permutation(np.r_[np.arange(1, 3000), rng.integers(0, 3000, 1200)])
+    far = S.pair_distances("l2")
+    d = far(v[src], v[dst])
+    order = np.lexsort((dst, d, src))
+    src, dst, d = src[order], dst[order], d[order]
+    want = []
+    for s in np.unique(src):
+        kept = []
+        for j in np.flatnonzero(src == s):
+            if len(kept) < 8 and all(far(v[dst[[j]]], v[dst[[i]]])[0] >= d[j] for i in kept):
+                kept.append(j)
+        want += [(s, dst[j], r) for r, j in enumerate(kept, 1)]
+    table = pa.table({"src": src, "dst": dst, "distance": d, "vector": pa.array(v[dst].tolist())})
+    for size in (7, 300, 9999):
+        tracemalloc.start()
+        out = list(G._diverse(8, "l2", 1.0, False)(iter(table.to_batches(size))))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [(a, b, c) for x in out for a, b, c in zip(*(x.column(n).to_pylist() for n in ("src", "dst", "rank")), strict=True)] == want
+        assert most < 20e6  # all against all: 72 MB
+
+
+def test_quality_by_label_makes_no_pair_a_row(spark):
+    from lumenspar.operators import accounting as A
+
+    p = X.points(spark, SF)
+    q = p.where("id % 5 = 0").select(F.col("id").alias("query_id"), "label")
+    ranked = S.batch_search(p, p.where("id % 5 = 0"), 10, exclude_self=True)
+    pairs = q.join(p.select("id", "label"), "label").where("id <> query_id").select("query_id", "id")
+    quality = A.label_quality(ranked, q, p.select("id", "label"), 10)
+    assert quality.first() == A.retrieval_quality(ranked, pairs, 10).first()
+    assert A.label_quality(ranked, q, p.select("id", F.col("id").alias("label")), 10).first().queries == 0
